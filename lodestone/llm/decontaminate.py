@@ -132,9 +132,8 @@ def _merged(spans: str):
     """Spans of several blocks, joined where they overlap or touch in words."""
     kind = "array<struct<word:bigint,words:bigint,from:bigint,to:bigint>>"
     def add(done, x):
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["word"] + F.try_element_at(done, F.lit(-1))["words"] >= x["word"])
         last = F.try_element_at(done, F.lit(-1))
+        joins = (F.size(done) > 0) & (last["word"] + last["words"] >= x["word"])
         longer = F.struct(last["word"].alias("word"), (F.greatest(last["word"] + last["words"], x["word"] + x["words"]) - last["word"]).alias("words"), last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))
         return F.when(joins, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(x)))
     return F.aggregate(F.sort_array(spans), F.array().cast(kind), add)

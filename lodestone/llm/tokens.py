@@ -9,13 +9,37 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 _ODD = re.compile(r" \s|\s |^ | $")
-#: Pieces kept in a worker; beyond it the store starts anew.
-MOST = 300_000
+_RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x20, 0x0A)]
+
+
+def _odd(text: str) -> bool:
+    """Whether other white space stands next to a blank; told without a regular expression for the usual texts."""
+    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+        return True
+    return any(c in text for c in _RARE) and _ODD.search(text) is not None
+
+
+#: Pieces, and their characters, kept in a worker; beyond either the store starts anew.
+MOST, MOST_CHARS = 800_000, 20 << 20
+
+#: ASCII punctuation without the apostrophe, which may begin a contraction, and "<" and "|>", which may belong to a special token.
+PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter by which byte-level vocabularies write each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Words:
@@ -26,6 +50,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.merge = self.tokenizer.model.tokenize
         self.clear()
 
     def clear(self) -> None:
@@ -34,11 +59,26 @@ class Words:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
+        self.chars = 0
+
+    def _simple(self, piece: str) -> list[int] | None:
+        """The ids of a piece of letters after at most one blank, perhaps with ASCII punctuation behind: each part is one token of the
+        splitting pattern, so the model's merges alone give its ids. None for any other piece."""
+        core = piece.rstrip(PUNCTUATION)
+        if not (core[1:] if core[:1] == " " else core).isalpha():
+            return None
+        ids = [t.id for t in self.merge(core.replace(" ", "\u0120") if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        if len(core) < len(piece):
+            ids += [t.id for t in self.merge(piece[len(core) :])]
+        return ids
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        encoded = [self._simple(p) for p in pieces]
+        rest = [i for i, e in enumerate(encoded) if e is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            encoded[i] = e.ids
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
         n = len(self.number)
         while n + len(pieces) > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
@@ -48,29 +88,31 @@ class Words:
         self.length[n : n + len(pieces)] = lengths
         self.start[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
+        self.chars += sum(map(len, pieces))
         self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text. Null counts as empty."""
-        if len(self.number) > MOST:
+        if len(self.number) > MOST or self.chars > MOST_CHARS:
             self.clear()
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD.search(text):
+            if _odd(text):
                 pieces.append(text)
                 counts[i] = 1
             else:
                 split = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
                 pieces += split
                 counts[i] = len(split)
-        known = self.number
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
+        got = list(map(self.number.get, pieces))
+        if None in got:
+            new = list(dict.fromkeys(p for p, g in zip(pieces, got, strict=True) if g is None))
             self._learn(new)
-        numbers = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            got = [self.number[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
+        numbers = np.array(got, np.int64)
         lengths = self.length[numbers]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - (ends - lengths), lengths)
