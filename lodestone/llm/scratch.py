@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -80,3 +81,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     sc.addPyFile(at)
     _shipped.add(sc.applicationId)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of shuffle files whose queries have ended; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
