@@ -2,7 +2,7 @@
 
 Each class has its mean and a covariance shrunk towards the pooled diagonal, S_c = (1 - a) S_c + a diag(S). A score is the logistic of
 the difference of the classes' Gaussian log-densities (Mahalanobis distances from cached Cholesky factors, log-determinants) plus the
-log prior odds, divided by a temperature fitted on the learning rows. All labelled learning rows are used; only sums of features and
+log prior odds, divided by a temperature (a parameter; it tempers densities of dependent statistics). All labelled learning rows are used; only sums of features and
 of their products reach the driver.
 
 Defined results: null text counts as empty and gets a score; null or missing labels aren't learned from; with a class absent or

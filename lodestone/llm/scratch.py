@@ -61,11 +61,6 @@ def begin(spark: SparkSession, scope: str) -> None:
     _scope = f"stage:{scope}"
 
 
-def end() -> None:
-    global _scope
-    _scope = "query"
-
-
 _shipped: set[str] = set()
 
 
@@ -87,3 +82,13 @@ def tidy(spark: SparkSession) -> None:
     """Lets go of shuffle files whose queries have ended; else they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def saved_result(df: DataFrame) -> DataFrame:
+    """A pipeline stage's result, written and read again; it stays when later stages begin."""
+    global _scope
+    held, _scope = _scope, "query"
+    try:
+        return saved(df, "stage")
+    finally:
+        _scope = held
