@@ -79,10 +79,10 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 from d left join n using (doc_id) left join t using (doc_id)""",
     "op5_line_frequency": rf"""
 with d as (select doc_id, coalesce(source, chr(0)) host, coalesce(text, '') t from documents),
-w as (select doc_id, host, t, regexp_extract_all(t, '{_WORD}') w, list_filter(string_split(t, chr(10)), x -> trim(x, {_WHITE}) <> '') l from d),
+w as (select doc_id, host, t, regexp_extract_all(t, '{_WORD}') w, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_WHITE}) <> '') l from d),
 g as (select doc_id, i, w[i:i + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 3)),
 r as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + 3)) p from (select doc_id, i, count(*) over (partition by doc_id, g) c from g) where c > 1) group by 1),
-base as (select doc_id, host, md5(t) h, l, cast(len(w) as bigint) n_words, cast(coalesce(list_sum(list_transform(w, x -> length(x))), 0) as bigint) word_chars,
+base as (select doc_id, host, md5(t) h, l, cast(len(w) as bigint) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars,
   cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, coalesce(r.n, 0) n_repeat_words from w left join r using (doc_id)),
 lines as (select doc_id, host, h, len(string_split(x, ' ')) k, x from (select doc_id, host, h, regexp_replace(trim(translate(unnest(l), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz000000000    ')), ' {{2,}}', ' ', 'g') x from base)),
 hosts as (select host, count(distinct h) a from base group by 1),
