@@ -1,7 +1,7 @@
 """Operator 10: personal data replaced by keyed surrogates, in DataFrame functions only.
 
-Detected: e-mail addresses, IPv4 addresses, phone numbers, payment cards, IBANs, US social security numbers, secrets (assigned
-hexadecimal or base64 strings, access-key ids) and persons after an honorific. Each distinct entity (type and canonical form) gets
+Detected: e-mail addresses, IPv4 addresses, phone numbers, payment cards, IBANs, US social security numbers, secrets (values
+assigned to a password, token or key, access-key ids) and persons after an honorific. Each distinct entity (type and canonical form) gets
 one surrogate for the whole corpus, drawn from SHA-256 of key, type, attempt and entity. Surrogates keep the type, the length, the
 punctuation and the case; persons keep gender (by honorific) and script. Entities whose surrogate is another one's, or equals
 an entity of the corpus, draw again until all are distinct, the smallest entity keeping its draw.
@@ -27,35 +27,42 @@ NAMES = {
     ("m", "cyrillic"): ["Иван", "Олег", "Пётр", "Антон"],
     ("f", "cyrillic"): ["Анна", "Ольга", "Нина", "Вера"],
 }
-#: In order: the first type that matches a place wins.
+KEYS = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
+ASSIGNED = rf"{KEYS} {{0,3}}[=:] {{0,3}}[\"']?"
+TITLE = rf"(?:{HONORIFIC['m']}|{HONORIFIC['f']})\.? "
+#: In order: the first type that matches a place wins. Secrets and persons are found with what introduces them, which stays.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?<=[=:] {0,3}[\"']?)[0-9a-fA-F]{32,128}|(?<=[=:] {0,3}[\"'])[A-Za-z0-9+/_-]{32,128}={0,2})(?![A-Za-z0-9])",
-    "email": r"[\p{L}0-9](?:[\p{L}0-9._%+-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,6}[A-Za-z]{2,24}",
+    "secret": rf"(?<![A-Za-z]){ASSIGNED}[A-Za-z0-9+/_.-]{{5,127}}[A-Za-z0-9]={{0,2}}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
+    "email": r"[\p{L}0-9][\p{L}0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,6}[A-Za-z]{2,24}",
     "ipv4": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])",
+    "card": r"(?<![\d-])(?:(?:\d{4}[ -]?){3}\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\dA-Za-z+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\dA-Za-z])",
-    "person": rf"(?<=(?<!\p{{L}})(?:{HONORIFIC['m']}|{HONORIFIC['f']})\.? )\p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "person": rf"(?<!\p{{L}}){TITLE}\p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
 }
-ANY = "|".join(f"({p})" for p in PATTERNS.values())
-#: Cheap bytes without which no pattern can match.
-HINT = r"[@+]|\d{1,3}\.\d|\d{3}[-.) ]|[=:] {0,3}[\"']?[0-9A-Za-z+/_-]{32}|AKIA|[A-Z]{2}\d\d|" + "|".join(HONORIFIC.values())
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def _kind(found: Column) -> Column:
-    """The type of a match, told by its own form (look-arounds apart)."""
+    """The type of a match, told by its own form."""
     whole = {
-        "email": ".*@.*", "ipv4": rf"^(?:{OCTET}\.){{3}}{OCTET}$", "iban": r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$", "card": r"^(?:\d{4}[ -]){3}\d{4}$",
-        "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^[+(\d][\d ().+-]*$",
+        "secret": rf"^(?:{ASSIGNED}|AKIA[0-9A-Z]{{16}}$)", "email": "@", "ipv4": rf"^(?:{OCTET}\.){{3}}{OCTET}$", "iban": r"^[A-Z]{2}\d{2}[ A-Z0-9]{8,}$",
+        "card": r"^(?:(?:\d{4}[ -]?){3}\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^[+(\d][\d ().+-]*$",
     }
-    case = F.when(found.rlike(r"^(?:AKIA[0-9A-Z]{16}|[A-Za-z0-9+/_-]{32,128}={0,2})$"), "secret")
+    case = None
     for kind, pattern in whole.items():
-        case = case.when(found.rlike(pattern), kind)
+        case = F.when(found.rlike(pattern), kind) if case is None else case.when(found.rlike(pattern), kind)
     return case.otherwise("person")
 
 
+def _lead(kind: Column, found: Column) -> Column:
+    """What introduces a secret or a person within the match."""
+    return F.when(kind.isin("secret", "person"), F.regexp_extract(found, rf"^(?:{ASSIGNED}|{TITLE})", 0)).otherwise("")
+
+
 def _canonical(kind: Column, found: Column) -> Column:
+    found = F.substr(found, F.length(_lead(kind, found)) + 1)
     return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(found, r"\D", "")).when(kind == "iban", F.replace(found, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(found)).otherwise(found)
 
 
@@ -111,21 +118,18 @@ def _render(kind: Column, found: Column, new: Column) -> Column:
     spaced = F.array_join(F.transform(F.split(found, ""), lambda c, i: F.when(c == " ", " ").otherwise(F.substring(new, (i + 1 - (F.length(F.substring(found, F.lit(1), i + 1)) - F.length(F.replace(F.substring(found, F.lit(1), i + 1), F.lit(" "), F.lit(""))))), F.lit(1)))), "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), slots).when((kind == "iban") & F.contains(found, F.lit(" ")), spaced)
-        .when((kind == "email") & (found == F.upper(found)), F.upper(new)).otherwise(new)
+        .when((kind == "email") & (found == F.upper(found)), F.upper(new)).otherwise(F.concat(_lead(kind, found), new))
     )
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __found: array<struct<found, kind, entity, gender>> of all entities in order; null where there is none."""
-    t = F.col(text)
-    raw = docs.withColumn("__raw", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    female = F.regexp_extract_all(t, F.lit(rf"(?<!\p{{L}})(?:{HONORIFIC['f']})\.? (\p{{Lu}}\p{{Ll}}+)"), F.lit(1))
-    raw = raw.withColumn("__female", F.when(F.size("__raw") > 0, female))
+    """docs with __found: array<struct<found, kind, entity, gender>> of all entities in order; empty where there is none, null for null."""
+    raw = docs.withColumn("__raw", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     def one(m: Column) -> Column:
         kind = _kind(m)
-        gender = F.when(kind == "person", F.when(F.array_contains("__female", F.split(m, " ")[0]), "f").otherwise("m")).otherwise("")
+        gender = F.when(kind != "person", "").when(m.rlike(rf"^(?:{HONORIFIC['f']})\.? "), "f").otherwise("m")
         return F.struct(m.alias("found"), kind.alias("kind"), _canonical(kind, m).alias("entity"), gender.alias("gender"))
-    return raw.withColumn("__found", F.when(F.size("__raw") > 0, F.transform("__raw", one))).drop("__raw", "__female")
+    return raw.withColumn("__found", F.transform("__raw", one)).drop("__raw")
 
 
 def mapping(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
@@ -149,22 +153,20 @@ def mapping(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
 
 def apply(docs: DataFrame, key: str = "surrogate-key-1", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with surrogates in `text`, and entities: array<struct<kind, surrogate>> in order of appearance (empty if none)."""
-    found = detect(docs.withColumn("__hash", F.xxhash64(F.col(text))), text)
-    rows = found.where(F.col("__found").isNotNull()).select(F.col(doc_id).alias("__id"), "__hash", F.posexplode("__found").alias("pos", "x")).select("__id", "__hash", "pos", "x.*")
-    # one copy of each (document, text): repeated rows share its surrogates
+    found = detect(docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text")), "__text")
+    rows = found.select("__id", "__hash", F.posexplode("__found").alias("pos", "x")).select("__id", "__hash", "pos", "x.*")
     rows = scratch.saved(rows.dropDuplicates(["__id", "__hash", "pos"]), "occurrences")
     named = mapping(rows.select("kind", "entity", "gender"), key)
     placed = skew.lookup(rows, named.select("kind", "entity", "gender", "new"), ["kind", "entity", "gender"], F.struct("__id", "pos"))
     placed = placed.withColumn("shown", _render(F.col("kind"), F.col("found"), F.col("new")))
     per_doc = placed.groupBy("__id", "__hash").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "shown"))).alias("__new"))
     none = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    t = docs[text]
-    plain = docs.where(t.isNull() | ~t.rlike(HINT)).withColumn("entities", none)
-    rest = docs.where(t.rlike(HINT)).withColumn("__hash", F.xxhash64(F.col(text)))
-    joined = rest.join(per_doc, rest[doc_id].eqNullSafe(per_doc["__id"]) & (rest["__hash"] == per_doc["__hash"]), "left").drop("__id", "__hash")
+    rest = docs.drop("entities").withColumn("__same", F.xxhash64(text))
+    per_doc = per_doc.withColumnRenamed("__hash", "__other")
+    joined = rest.join(per_doc, rest[doc_id].eqNullSafe(per_doc["__id"]) & (rest["__same"] == per_doc["__other"]), "left").drop("__id", "__same", "__other")
     gaps = F.split(F.col(text), ANY, -1)
     new = F.array_join(F.zip_with(gaps, F.transform("__new", lambda x: x["shown"]), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     changed = joined.withColumn(text, F.when(F.col("__new").isNotNull(), new).otherwise(F.col(text))).withColumn(
         "entities", F.coalesce(F.transform("__new", lambda x: F.struct(x["kind"].alias("kind"), x["shown"].alias("surrogate"))), none)
     )
-    return changed.drop("__new").select(*docs.columns, "entities").unionByName(plain.select(*docs.columns, "entities"))
+    return changed.select(*(c for c in docs.columns if c != "entities"), "entities")

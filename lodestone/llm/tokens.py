@@ -7,6 +7,7 @@ to a blank are encoded whole. Either way the ids are those of Tokenizer.encode(t
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from itertools import chain
@@ -26,7 +27,7 @@ def _odd(text: str) -> bool:
 
 
 #: Pieces, and their characters, kept in a worker; beyond either the store starts anew.
-MOST, MOST_CHARS = 800_000, 20 << 20
+MOST, MOST_CHARS = 1_000_000, 24 << 20
 
 #: ASCII punctuation without the apostrophe, which may begin a contraction, and "<" and "|>", which may belong to a special token.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -51,6 +52,8 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.merge = self.tokenizer.model.tokenize
+        self.line = [t.id for t in self.merge("\u010a")]
+        self.tails: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -62,18 +65,28 @@ class Words:
         self.chars = 0
 
     def _simple(self, piece: str) -> list[int] | None:
-        """The ids of a piece of letters after at most one blank, perhaps with ASCII punctuation behind: each part is one token of the
-        splitting pattern, so the model's merges alone give its ids. None for any other piece."""
+        """The ids of a piece of letters after at most one blank, perhaps with ASCII punctuation behind, perhaps with a line end and
+        another such part behind that: each part is one token of the splitting pattern, so the model's merges alone give its ids.
+        None for any other piece."""
+        merge = self.merge
+        if piece[1:].isalpha() and piece.isascii() and (piece[0] == " " or piece[0].isalpha()):
+            return [t.id for t in merge(piece.replace(" ", "\u0120"))]
         core = piece.rstrip(PUNCTUATION)
         if not (core[1:] if core[:1] == " " else core).isalpha():
+            left, line, right = piece.partition("\n")
+            if line and left and right and right[0] != "\n" and left[-1] != "\n" and (a := self._simple(left)) is not None and right[0] != " " and (b := self._simple(right)) is not None:
+                return a + self.line + b
             return None
-        ids = [t.id for t in self.merge(core.replace(" ", "\u0120") if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS))]
-        if len(core) < len(piece):
-            ids += [t.id for t in self.merge(piece[len(core) :])]
+        ids = [t.id for t in merge(core.replace(" ", "\u0120") if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        tail = piece[len(core) :]
+        if tail:
+            if tail not in self.tails:
+                self.tails[tail] = [t.id for t in merge(tail)]
+            ids += self.tails[tail]
         return ids
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = [self._simple(p) for p in pieces]
+        encoded = list(map(self._simple, pieces))
         rest = [i for i, e in enumerate(encoded) if e is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             encoded[i] = e.ids
@@ -110,7 +123,13 @@ class Words:
         got = list(map(self.number.get, pieces))
         if None in got:
             new = list(dict.fromkeys(p for p, g in zip(pieces, got, strict=True) if g is None))
-            self._learn(new)
+            collecting = gc.isenabled()
+            gc.disable()  # many small lists that hold no cycles
+            try:
+                self._learn(new)
+            finally:
+                if collecting:
+                    gc.enable()
             got = [self.number[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
         numbers = np.array(got, np.int64)
         lengths = self.length[numbers]
