@@ -46,7 +46,7 @@ def token_int(c: Column, at: int = 3) -> Column:
 
 def parts(c: Column, sep: str) -> Column:
     """Pieces between separators, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def heading_level(line: Column) -> Column:

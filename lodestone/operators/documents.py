@@ -37,7 +37,7 @@ def tables(rows: DataFrame, flush: bool = False, caption: str = "Tabella", back:
         F.count("*").alias("n_rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"),
         F.min_by("line", "pos").alias("head"), F.min_by("found", "pos").alias("caption"),
     )
-    cells = F.filter(F.transform(F.split("head", r"\|"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("head", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return g.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")).alias("table_no"), "start", "n_rows", "content", cells.alias("columns"), F.coalesce("caption", F.lit("N/A")).alias("caption"))
 
 

@@ -1 +1,3 @@
-"""Part of the lodestone analytics engine."""
+"""Registered queries by family; importing a family registers it."""
+
+from . import documents, graphs, indexes, survey, tables  # noqa: F401
