@@ -118,7 +118,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     if len(blocks) == 1:
         # One block: the scan carries each row's columns along instead of joining them again.
         return _carried(docs, spark.sparkContext.broadcast(Windows(blocks[0], n)), text)
-    numbered = scratch.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    numbered = scratch.saved(docs.drop("n_words", "items", "spans").withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = []
     for block in blocks:
         sent = spark.sparkContext.broadcast(Windows(block, n))

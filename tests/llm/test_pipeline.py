@@ -1,0 +1,16 @@
+import corpus_pipeline
+from lodestone.llm import scratch
+
+
+def test_stages_agree_with_run(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = [docs.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.saved_result(stage(spark, docs, sf))
+        assert docs.columns == corpus_pipeline.COLUMNS
+        n.append(docs.count())
+    assert n == sorted(n, reverse=True) and n[-1] > n[0] // 2
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.select("doc_id").distinct().count() == n[-1]
+    assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == n[-1]
