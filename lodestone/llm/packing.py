@@ -31,8 +31,8 @@ def _encoder(vocabulary: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = tokens.words(vocabulary)
         for batch in batches:
-            for part in textnp.slices(batch, "text"):
-                ids, lengths = tokens.end_with(*store.encode(part.column("text").to_pylist()), end)
+            for part in textnp.slices(batch, "text", 2 << 20):
+                ids, lengths = tokens.end_with(*store.encode(part.column("text")), end)
                 small = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("source"), part.column("row"), pa.array(lengths), tokens.binary(small, lengths), pa.array(np.full(len(lengths), small.itemsize, np.int32))],

@@ -191,8 +191,8 @@ def _writer(folder: str, vocabulary: str, end: int, most: int):
             return pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "n_ids": [len(ids)]})
 
         for batch in batches:
-            for piece in textnp.slices(batch, "text"):
-                ids, lengths = tokens.end_with(*store.encode(piece.column("text").to_pylist()), end)
+            for piece in textnp.slices(batch, "text", 2 << 20):
+                ids, lengths = tokens.end_with(*store.encode(piece.column("text")), end)
                 held.append((ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), lengths))
                 if sum(len(x) for x, _, _ in held) >= most:
                     yield flush()

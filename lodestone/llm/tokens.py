@@ -15,19 +15,29 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-_ODD = re.compile(r" \s|\s |^ | $")
-_RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x20, 0x0A)]
-
-
-def _odd(text: str) -> bool:
-    """Whether other white space stands next to a blank; told without a regular expression for the usual texts."""
-    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-        return True
-    return any(c in text for c in _RARE) and _ODD.search(text) is not None
+from . import textnp
 
+_ODD = re.compile(r" \s|\s |^ | $")
+#: Pieces, and their ids, kept in a worker; beyond half of either the store starts anew.
+MOST, MOST_IDS = 1 << 21, 8 << 20
+#: Bytes of white space other than blank and line end; the last four begin longer ones.
+_RARE = np.zeros(256, bool)
+_RARE[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows in which other white space stands next to a blank, or a blank at either end."""
+    odd = np.zeros(len(offsets) - 1, bool)
+    full = offsets[:-1] < offsets[1:]
+    blank, line = data == 0x20, data == 0x0A
+    odd[full] = blank[offsets[:-1][full]] | blank[offsets[1:][full] - 1]
+    near = np.flatnonzero(blank[:-1] & (blank[1:] | line[1:]) | line[:-1] & blank[1:])
+    odd[np.searchsorted(offsets, near, "right") - 1] = True
+    rows = np.unique(np.searchsorted(offsets, np.flatnonzero(_RARE[data]), "right") - 1)
+    for r in rows[~odd[rows]].tolist():  # few rows hold such bytes, but for typographic marks
+        odd[r] = _ODD.search(data[offsets[r] : offsets[r + 1]].tobytes().decode()) is not None
+    return odd
 
-#: Pieces, and their characters, kept in a worker; beyond either the store starts anew.
-MOST, MOST_CHARS = 1_000_000, 24 << 20
 
 #: ASCII punctuation without the apostrophe, which may begin a contraction, and "<" and "|>", which may belong to a special token.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
@@ -57,12 +67,37 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.keys = np.zeros(2 * 1 << (MOST - 1).bit_length(), np.uint64)  # open addressing; 0 is free
+        self.values = np.zeros(len(self.keys), np.int32)
+        self.known = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
-        self.chars = 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of known pieces, -1 for others."""
+        mask = np.uint64(len(self.keys) - 1)
+        at, out = hashes & mask, np.full(len(hashes), -1, np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            here = self.keys[at]
+            hit = here == hashes[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (here != 0)
+            todo, at = todo[on], (at[on] + np.uint64(1)) & mask
+        return out
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds distinct, unknown hashes."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = hashes & mask
+        while len(hashes):
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]] = hashes[free]
+            won = self.keys[at] == hashes
+            self.values[at[won]] = numbers[won]
+            hashes, numbers, at = hashes[~won], numbers[~won], (at[~won] + np.uint64(1)) & mask
 
     def _simple(self, piece: str) -> list[int] | None:
         """The ids of a piece of letters after at most one blank, perhaps with ASCII punctuation behind, perhaps with a line end and
@@ -92,7 +127,7 @@ class Words:
             encoded[i] = e.ids
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
-        n = len(self.number)
+        n = self.known
         while n + len(pieces) > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         while self.used + len(flat) > len(self.ids):
@@ -101,43 +136,54 @@ class Words:
         self.length[n : n + len(pieces)] = lengths
         self.start[n : n + len(pieces)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.chars += sum(map(len, pieces))
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.known += len(pieces)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text. Null counts as empty."""
-        if len(self.number) > MOST or self.chars > MOST_CHARS:
+        data, offsets = textnp.utf8(texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.large_string()))
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        if self.known > MOST // 2 or self.used > MOST_IDS:
             self.clear()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _odd(text):
-                pieces.append(text)
-                counts[i] = 1
-            else:
-                split = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else [text]
-                pieces += split
-                counts[i] = len(split)
-        got = list(map(self.number.get, pieces))
-        if None in got:
-            new = list(dict.fromkeys(p for p, g in zip(pieces, got, strict=True) if g is None))
+        row_start = offsets[:-1][offsets[:-1] < offsets[1:]]
+        whole = _odd_rows(data, offsets)
+        blank = np.flatnonzero(data == 0x20)
+        if whole.any():
+            blank = blank[~whole[np.searchsorted(offsets, blank, "right") - 1]]
+        starts = np.union1d(row_start, blank)
+        ends = np.append(starts[1:], len(data))
+        hashes = textnp.word_hashes(data, starts, ends)
+        hashes += (hashes == 0).astype(np.uint64)
+        numbers = self._find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            pieces = [raw[a:b].decode() for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
+            fresh = self.known + np.arange(len(new))
+            if self.known + len(new) > MOST:  # a batch of very many new pieces: the store holds this batch alone
+                self.clear()
+                return self.encode(texts) if len(np.unique(hashes)) <= MOST else self._apart(data, offsets)
             collecting = gc.isenabled()
             gc.disable()  # many small lists that hold no cycles
             try:
-                self._learn(new)
+                self._learn(pieces)
             finally:
                 if collecting:
                     gc.enable()
-            got = [self.number[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
-        numbers = np.array(got, np.int64)
+            self._put(new, fresh)
+            numbers[missing] = fresh[back]
         lengths = self.length[numbers]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - (ends - lengths), lengths)
-        sums = np.concatenate([[0], ends])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[at], sums[edges[1:]] - sums[edges[:-1]]
+        done = np.cumsum(lengths)
+        at = np.arange(done[-1]) + np.repeat(self.start[numbers] - (done - lengths), lengths)
+        sums = np.concatenate([[0], done])
+        edge = sums[np.searchsorted(starts, offsets)]
+        return self.ids[at], np.diff(edge)
+
+    def _apart(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(f) for f in found], np.int64)
 
 
 _kept: dict[str, Words] = {}
