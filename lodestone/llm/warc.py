@@ -34,8 +34,12 @@ CRLF = b"\r\n"
 
 def train(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> bytes:
     """A dictionary, or b"" where the sample is too small to train one."""
-    rows = pages.select(F.substring(F.encode(F.coalesce(html, F.lit("")), "utf-8"), 1, SAMPLE_BYTES).alias("x"), F.xxhash64(page_id).alias("h")).orderBy("h").limit(SAMPLE_PAGES)
-    samples = [bytes(r.x) for r in rows.collect() if r.x]
+    n = pages.count()
+    share = 1.0 if n <= SAMPLE_PAGES else 1.2 * SAMPLE_PAGES / n
+    low = F.pmod(F.xxhash64(page_id), F.lit(1 << 30)).alias("h")
+    chosen = pages.select(F.substring(F.encode(F.coalesce(html, F.lit("")), "utf-8"), 1, SAMPLE_BYTES).alias("x"), low).where(F.col("h") < int(share * (1 << 30)))
+    # about 1.2 * SAMPLE_PAGES rows; the limit only guards against a page_id that repeats without end
+    samples = [bytes(r.x) for r in sorted(chosen.limit(2 * SAMPLE_PAGES).collect(), key=lambda r: (r.h, r.x))[:SAMPLE_PAGES] if r.x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
