@@ -14,7 +14,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, sa
     """Left join on keys unique in `small`; rows of a hot key spread over `salts` partitions, for which `small` is repeated."""
     left = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "__salt"], "left").drop("__salt")
+    # merged, never broadcast: the repeated table is `salts` times as large as its statistics say
+    return left.join(right.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
 
 
 def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str, out: str, name: str, partitions: int | None = None) -> DataFrame:
