@@ -7,7 +7,9 @@ adapts to how dense it is; the member at the end of the heaviest branch (the reg
 with the longest common prefix stay with every part. Within a part the signatures rank pairs; those that may reach the threshold
 (estimate above it less 4.5 standard deviations) are linked as a spanning forest by falling estimate and confirmed exactly. Members
 that confirmed links have not brought together come again, each with its 8, 64, ... best untried partners, until none is left. So
-what is confirmed grows with the links needed, not with the pairs of a group.
+what is confirmed grows with the links needed, not with the pairs of a group. Parts keep some pairs of a region of more than REGION
+nodes from ever being compared; so what those regions' members may still be linked with is found exactly, by joining them on the rarest
+shingles of each set (prefix filter) and confirming every pair of different classes.
 
 Defined results: texts without words, null included, have an empty set and are linked with nothing; fewer words than the shingle
 length are one shingle; rows that repeat a doc_id are one document's versions and share a class; extra columns aren't read; an
@@ -113,11 +115,11 @@ def _keys(depth: int):
     return run
 
 
-def _parts(signs: np.ndarray, members: np.ndarray, tree: int, depth: int) -> Iterator[np.ndarray]:
-    """Index sets of at most about REGION members that share ever longer prefixes of the tree's order."""
-    if len(members) <= REGION or depth >= HASHES:
-        for at in range(0, len(members), REGION):  # equal signatures through and through: runs that share a member
-            yield members[max(0, at - 1) : at + REGION]
+def _parts(signs: np.ndarray, members: np.ndarray, tree: int, depth: int, most: int) -> Iterator[np.ndarray]:
+    """Index sets of at most about `most` members that share ever longer prefixes of the tree's order."""
+    if len(members) <= most or depth >= HASHES:
+        for at in range(0, len(members), most):  # equal signatures through and through: runs that share a member
+            yield members[max(0, at - 1) : at + most]
         return
     column = signs[members, (WIDTH * tree + depth) % HASHES]
     values, inverse, counts = np.unique(column, return_inverse=True, return_counts=True)
@@ -129,12 +131,12 @@ def _parts(signs: np.ndarray, members: np.ndarray, tree: int, depth: int) -> Ite
         if len(group) == 1:
             loose.append(int(group[0]))
         else:
-            yield from _parts(signs, group, tree, depth + 1)
+            yield from _parts(signs, group, tree, depth + 1, most)
         if value != heavy and len(group) > 1:
-            for at in range(0, len(group), REGION - 1):
-                yield np.concatenate([[hub], group[at : at + REGION - 1]])
-    for at in range(0, len(loose), REGION - 1):
-        yield np.unique(np.concatenate([[hub], loose[at : at + REGION - 1]]))
+            for at in range(0, len(group), most - 1):
+                yield np.concatenate([[hub], group[at : at + most - 1]])
+    for at in range(0, len(loose), most - 1):
+        yield np.unique(np.concatenate([[hub], loose[at : at + most - 1]]))
 
 
 def _heaviest(signs: np.ndarray, members: np.ndarray, tree: int, depth: int) -> int:
@@ -171,11 +173,11 @@ def _spanning(same: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(depth: int, least: int, quota: int):
+def _candidates(depth: int, least: int, quota: int, most: int):
     """Pairs to confirm in each region (rows sorted by key). quota 0: spanning forests; else each member's `quota` best partners of other classes."""
 
     def region(tree: int, nodes: np.ndarray, comps: np.ndarray, signs: np.ndarray, out: list) -> None:
-        for part in _parts(signs, np.arange(len(nodes)), tree, depth):
+        for part in _parts(signs, np.arange(len(nodes)), tree, depth, most):
             if len(part) < 2 or (quota and (comps[part] == comps[part[0]]).all()):
                 continue
             same = _agreement(signs[part])
@@ -237,6 +239,42 @@ def _sets(n: int):
     return run
 
 
+def _full_sets(given: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes."""
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    chosen = given.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    return scratch.saved(chosen.mapInArrow(_sets(n), "node long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, near), told by the full sets."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    return scratch.saved(both.select("a", "b", (100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).alias("near")), "judged")
+
+
+def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different classes that may reach the threshold.
+
+    Sets of x and y shingles at the threshold share percent % of the larger one at least, so, with all shingles in one order, they share
+    one of the first x - ceil(percent % of x) + 1 and y - ceil(percent % of y) + 1. The order is the rarest first.
+    """
+    items = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    counts = scratch.saved(items.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    ranked = skew.lookup(items, counts, ["g"], F.col("node")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "g"))).alias("gs"))
+    first = F.slice("gs", F.lit(1), F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)"))
+    posts = ranked.select("node", "n", F.explode(first).alias("x")).select("node", "n", "x.g", "x.c").where("c > 1").join(comps, "node")
+    posts = scratch.saved(posts, "posts")
+    # lists of more than REGION nodes are spread over tasks
+    last = F.when(F.col("c") > REGION, F.lit(skew.SALTS - 1)).otherwise(F.lit(0))
+    one = posts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "g", F.pmod(F.xxhash64("node"), last + 1).cast("int").alias("salt"))
+    two = posts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "g", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+    joined = one.join(two.hint("merge"), ["g", "salt"]).where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return joined.select("a", "b").distinct()
+
+
 def depth_for(percent: int) -> int:
     """The deepest prefix at which a pair at the threshold misses all trees with a chance below 1e-6."""
     s = percent / 100
@@ -257,7 +295,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     share = percent / 100
     least = math.floor(HASHES * (share - 4.5 * math.sqrt(share * (1 - share) / HASHES)))
     regions = nodes.mapInArrow(_keys(depth), "key long, tree int, node long")
-    crowded = scratch.saved(regions.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1").drop("size"), "regions")
+    crowded = scratch.saved(regions.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "regions")
+    wide = crowded.where(F.col("size") > REGION).drop("size")
+    crowded = crowded.drop("size")
     scratch.tidy(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signs = nodes.join(crowded.select("node").distinct(), "node", "left_semi")
@@ -276,21 +316,15 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
         else:
             rows = rows.withColumn("comp", F.col("node"))
         sorted_ = rows.join(signs, "node").repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "tree", "node", "comp", "sig")
-        pairs = scratch.saved(sorted_.mapInArrow(_candidates(depth, least, quota), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+        pairs = scratch.saved(sorted_.mapInArrow(_candidates(depth, least, quota, REGION), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
         new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         new = scratch.saved(new, "new")
         more = not new.isEmpty()
         if more:
             if sets is None:
                 wanted = scratch.saved(new.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-                few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-                chosen = given.withColumnRenamed("doc_id", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-                sets = scratch.saved(chosen.mapInArrow(_sets(n), "node long, shingles array<long>"), "sets")
-            one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-            two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-            both = new.select("a", "b").join(one, "a").join(two, "b")
-            inter = F.size(F.array_intersect("sa", "sb"))
-            judged = scratch.saved(both.select("a", "b", (100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).alias("near")), "judged")
+                sets = _full_sets(given, wanted, n)
+            judged = _confirmed(new, sets, percent)
             tried = judged.select("a", "b") if tried is None else scratch.saved(tried.unionByName(judged.select("a", "b")), "tried")
             near = judged.where("near").select("a", "b")
             linked = near if linked is None else linked.unionByName(near)
@@ -299,6 +333,22 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
         elif labels is None or pairs.where("more").isEmpty():
             break
         quota = 8 if not quota else quota * 8
+    if not wide.isEmpty():
+        if labels is not None:
+            wide = skew.lookup(wide, labels, ["node"], F.col("key"))
+        else:
+            wide = wide.withColumn("comp", F.lit(None).cast("long"))
+        wide = scratch.saved(wide.withColumn("comp", F.coalesce("comp", "node")), "wide")
+        mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        comps = scratch.saved(wide.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "members")
+        sets = _full_sets(given, comps.select("node"), n)
+        pairs = _prefix_pairs(sets, comps, percent)
+        new = scratch.saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "new")
+        near = _confirmed(new, sets, percent).where("near").select("a", "b")
+        if not near.isEmpty():
+            linked = near if linked is None else linked.unionByName(near)
+            labels = components(linked)
+        scratch.tidy(spark)
     out = known.drop("sig")
     if labels is not None:
         out = skew.lookup(out, labels, ["node"], F.col("doc_id"))

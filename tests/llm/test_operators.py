@@ -219,6 +219,20 @@ def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2).collect()} == exact_classes(rows, 2, 80)
 
 
+def test_near_duplicates_across_the_parts_of_a_region(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):  # pairs just over the threshold; all others, of a template of theirs, well under it
+        own = [f"x{i}q{j}" if rng.random() < 0.07 else w for j, w in enumerate(base)]
+        twin = list(own)
+        for k, j in enumerate(sorted(rng.sample(range(4, 196, 2), 11))):
+            twin[j] = f"y{i}q{k}"
+        rows += [(2 * i, " ".join(own), "", "", 0), (2 * i + 1, " ".join(twin), "", "", 0)]
+    monkeypatch.setattr(near_dup, "REGION", 4)
+    assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2).collect()} == exact_classes(rows, 2, 80)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
