@@ -1,7 +1,7 @@
 """Operator 10: personal data replaced by keyed surrogates, in DataFrame functions only.
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, payment cards, IBANs, US social security numbers, secrets (values
-assigned to a password, token or key, access-key ids) and persons after an honorific. Each distinct entity (type and canonical form) gets
+of any length assigned to a password, token or key, access-key ids) and persons after an honorific. Each distinct entity (type and canonical form) gets
 one surrogate for the whole corpus, drawn from SHA-256 of key, type, attempt and entity. Surrogates keep the type, the length, the
 punctuation and the case; persons keep gender (by honorific) and script. Entities whose surrogate is another one's, or equals
 an entity of the corpus, draw again until all are distinct, the smallest entity keeping its draw.
@@ -32,7 +32,7 @@ ASSIGNED = rf"{KEYS} {{0,3}}[=:] {{0,3}}[\"']?"
 TITLE = rf"(?:{HONORIFIC['m']}|{HONORIFIC['f']})\.? "
 #: In order: the first type that matches a place wins. Secrets and persons are found with what introduces them, which stays.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z]){ASSIGNED}[A-Za-z0-9+/_.-]{{5,127}}[A-Za-z0-9]={{0,2}}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
+    "secret": rf"(?<![A-Za-z]){ASSIGNED}[A-Za-z0-9+/_.-]{{5,}}[A-Za-z0-9]={{0,2}}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
     "email": r"[\p{L}0-9][\p{L}0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,6}[A-Za-z]{2,24}",
     "ipv4": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -94,7 +94,7 @@ def surrogate(key: str, kind: Column, entity: Column, gender: Column, attempt: C
     octet = lambda i: (F.conv(F.substring(stream, 1 + 4 * i, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     top = F.regexp_extract(entity, r"(\.[A-Za-z]+)$", 1)
     email = F.concat(_letters(stream, F.regexp_replace(entity, r"\.[A-Za-z]+$", "")), top)
-    secret = F.when(entity.rlike("^[0-9a-f]+$"), F.substring(F.concat(stream, stream), F.lit(1), F.length(entity))).when(
+    secret = F.when(entity.rlike("^[0-9a-f]+$"), F.substring(F.repeat(stream, F.floor(F.length(entity) / 128).cast("int") + 1), F.lit(1), F.length(entity))).when(
         entity.rlike("^AKIA"), F.concat(F.lit("AKIA"), _letters(stream, F.substr(entity, F.lit(5))))
     ).otherwise(_letters(stream, entity))
     iban = F.concat(F.substring(entity, 1, 2), _letters(stream, F.substr(entity, F.lit(3))))

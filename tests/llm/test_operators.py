@@ -315,3 +315,17 @@ def test_surrogates_stay_distinct(spark):
     ips = spark.range(200).select(F.lit("card").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"), F.lit("").alias("gender"))
     got = pii.mapping(ips, "k").collect()
     assert len({r.new for r in got}) == 200 and not {r.new for r in got} & {r.entity for r in got}
+
+
+def test_surrogates_of_long_secrets(spark):
+    rng = random.Random(6)
+    draw = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    head = draw("abcXYZ0189+/_-", 200) + "q"
+    secrets = [head + draw("abcXYZ0189+/_-", 500) + "a", head + draw("abcXYZ0189+/_-", 500) + "b", draw("0123456789abcdef", 700), draw("abcXYZ0189", 5000) + "=="]
+    df = spark.createDataFrame([(i, f"token={x}. Then more") for i, x in enumerate(secrets)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.apply(df).collect()}
+    for i, x in enumerate(secrets):
+        new = got[i].text.removeprefix("token=").removesuffix(". Then more")
+        assert len(new) == len(x) and len(got[i].entities) == 1
+        assert not any(x[k : k + 20] in got[i].text for k in range(0, len(x) - 20))
+    assert len({r.text for r in got.values()}) == 4
