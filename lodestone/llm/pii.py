@@ -27,6 +27,7 @@ NAMES = {
     ("m", "cyrillic"): ["Иван", "Олег", "Пётр", "Антон"],
     ("f", "cyrillic"): ["Анна", "Ольга", "Нина", "Вера"],
 }
+CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 KEYS = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 ASSIGNED = rf"{KEYS} {{0,3}}[=:] {{0,3}}[\"']?"
 TITLE = rf"(?:{HONORIFIC['m']}|{HONORIFIC['f']})\.? "
@@ -88,6 +89,12 @@ def _pick(stream: Column, at: int, names: list[str]) -> Column:
     return F.get(F.array(*map(F.lit, names)), F.conv(F.substring(stream, at, 4), 16, 10).cast("int") % len(names))
 
 
+def _drawn(stream: Column, at: int, letters: str, count: int) -> Column:
+    """`count` of the letters, drawn from four hexadecimal digits each."""
+    draw = lambda i: F.substring(F.lit(letters), F.conv(F.substring(stream, at + 4 * i, 4), 16, 10).cast("int") % len(letters) + 1, F.lit(1))
+    return F.concat(*map(draw, range(count)))
+
+
 def surrogate(key: str, kind: Column, entity: Column, gender: Column, attempt: Column) -> Column:
     """The surrogate of a canonical entity. Written for `attempt` 0, 1, ...; each gives another draw."""
     stream = F.concat(_hex(key, kind, entity, attempt, 0), _hex(key, kind, entity, attempt, 1))
@@ -102,9 +109,9 @@ def surrogate(key: str, kind: Column, entity: Column, gender: Column, attempt: C
     phone = F.concat(F.substring(entity, 1, 1), _letters(stream, F.substr(entity, F.lit(2))))
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
     def names(g: str, script: str) -> Column:
-        tail = F.initcap(_letters(F.substr(stream, F.lit(9)), F.lit("xxxxxx"))) if script == "latin" else _pick(stream, 9, ["Орлов", "Волин", "Серов", "Белин"])
+        tail = F.initcap(_letters(F.substr(stream, F.lit(9)), F.lit("xxxxxx"))) if script == "latin" else F.initcap(_drawn(stream, 9, CYRILLIC, 6))
         first = _pick(stream, 1, NAMES[g, script])
-        return F.when(F.contains(entity, F.lit(" ")), F.concat(first, F.lit(" "), tail)).otherwise(F.concat(first, F.lower(F.substr(tail, F.lit(2))) if script == "latin" else F.lit("")))
+        return F.when(F.contains(entity, F.lit(" ")), F.concat(first, F.lit(" "), tail)).otherwise(F.concat(first, F.lower(F.substr(tail, F.lit(2)))))
     person = F.when(cyrillic & (gender == "f"), names("f", "cyrillic")).when(cyrillic, names("m", "cyrillic")).when(gender == "f", names("f", "latin")).otherwise(names("m", "latin"))
     return (
         F.when(kind == "ipv4", F.concat_ws(".", *map(octet, range(4)))).when(kind == "email", email).when(kind == "secret", secret)

@@ -329,3 +329,12 @@ def test_surrogates_of_long_secrets(spark):
         assert len(new) == len(x) and len(got[i].entities) == 1
         assert not any(x[k : k + 20] in got[i].text for k in range(0, len(x) - 20))
     assert len({r.text for r in got.values()}) == 4
+
+
+def test_surrogates_of_many_cyrillic_names(spark):
+    letters = "абвгдежзик"
+    rows = [("person", f"{first}{x}{y}", g) for g in "mf" for first in ("Иван Петров", "Анна") for x in letters for y in letters[:4]]
+    got = pii.mapping(spark.createDataFrame(rows, "kind string, entity string, gender string"), "k").collect()
+    assert len(got) == len(rows) == len({r.new for r in got}) and not {r.new for r in got} & {r.entity for r in got}
+    for r in got:
+        assert re.fullmatch("[А-Я][а-яё]+" + " [А-Я][а-яё]+" * (" " in r.entity), r.new) and any(r.new.startswith(x) for x in pii.NAMES[r.gender, "cyrillic"])
