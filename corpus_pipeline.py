@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, near_dup, packing, pii, quality_rules, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A line in more documents of a host is cut, whatever the host's size.
+ENOUGH_DOCS = 1000
 #: No stage's tokens, surrogates or packing can be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -21,7 +23,7 @@ def _documents(df: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are depleted; cuts over-limit lines out of the others."""
     scratch.begin(spark, "quality")
-    judged = quality_rules.apply(docs)
+    judged = quality_rules.apply(docs, enough_docs=ENOUGH_DOCS)
     return _documents(quality_rules.strip_lines(judged.where("kept")))
 
 

@@ -3,7 +3,8 @@
 Lines are normalised (trimmed, white space collapsed, ASCII lower case, digits read as 0) and hashed together with their host.
 For each (host, line) the distinct documents that hold it are counted; byte-identical texts are one document, so that a copied
 document does not turn its own sentences into boilerplate. A line is over the limit if it stands in more than `min_docs` documents
-and in more than `percent` % of its host's distinct documents. Such lines are removed; a document that keeps less than
+and in more than `percent` % of its host's distinct documents, or, where `enough_docs` is given, in more than so many of them at any
+size of the host. Such lines are removed; a document that keeps less than
 `keep_percent` % of its words is depleted and rejected.
 
 Defined results: null text counts as empty (no words, base_failed, not kept); null host is a host of its own; repeated rows each get
@@ -96,12 +97,14 @@ def measured(docs: DataFrame, text: str = "text", host: str = "source") -> DataF
     return stats.withColumns({"__host": named, "__hash": F.xxhash64(t), "__normal": F.transform(_lines(t), _normal)}).withColumn("__lines", F.transform("__normal", one)).drop("__normal")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = 20, percent: int = 2) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = 20, percent: int = 2, enough_docs: int | None = None) -> DataFrame:
     """(line, n_docs) of the lines over the limit, from `measured` rows; the hash covers the host as well."""
     hosts = rows.groupBy("__host").agg(F.count_distinct("__hash").alias("host_docs"))
     lines = rows.select("__host", "__hash", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["line"]))).alias("line"))
     counts = lines.groupBy("line").agg(F.count_distinct("__hash").alias("n_docs"), F.first("__host").alias("__host"))
-    return counts.where(F.col("n_docs") > min_docs).join(hosts, "__host").where(100 * F.col("n_docs") > percent * F.col("host_docs")).select("line", "n_docs")
+    over = 100 * F.col("n_docs") > percent * F.col("host_docs")
+    over = over if enough_docs is None else over | (F.col("n_docs") > enough_docs)
+    return counts.where(F.col("n_docs") > min_docs).join(hosts, "__host").where(over).select("line", "n_docs")
 
 
 def line_verdicts(rows: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -114,14 +117,14 @@ def line_verdicts(rows: DataFrame, frequent: DataFrame, doc_id: str = "doc_id",
     return once.select("__id", "__hash", F.transform("hit", lambda x: x["pos"]).alias("removed"), F.aggregate("hit", F.lit(0), lambda a, x: a + x["n"]).cast("long").alias("removed_words"))
 
 
-def apply(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", min_docs: int = 20, percent: int = 2, keep_percent: int = 30, carry: bool = True) -> DataFrame:
+def apply(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", min_docs: int = 20, percent: int = 2, keep_percent: int = 30, carry: bool = True, enough_docs: int | None = None) -> DataFrame:
     """docs with the base statistics, removed_words, removed (numbers of removed lines among lines with words), depleted and kept.
 
     carry=False leaves out all columns of docs but the identity and the host: then no text is shuffled.
     """
     found = measured(docs, text, host)
     rows = scratch.saved(found.select(F.col(doc_id), "__host", "__hash", "__lines", *STATS), "measured")
-    verdicts = line_verdicts(rows, scratch.saved(frequent_lines(rows, min_docs, percent), "lines"), doc_id)
+    verdicts = line_verdicts(rows, scratch.saved(frequent_lines(rows, min_docs, percent, enough_docs), "lines"), doc_id)
     # one verdict for each (document, text)
     verdicts = verdicts.withColumnRenamed("__hash", "__same")
     stats = rows.drop("__lines", "__host")

@@ -338,3 +338,10 @@ def test_surrogates_of_many_cyrillic_names(spark):
     assert len(got) == len(rows) == len({r.new for r in got}) and not {r.new for r in got} & {r.entity for r in got}
     for r in got:
         assert re.fullmatch("[А-Я][а-яё]+" + " [А-Я][а-яё]+" * (" " in r.entity), r.new) and any(r.new.startswith(x) for x in pii.NAMES[r.gender, "cyrillic"])
+
+
+def test_lines_of_a_large_host(spark):
+    rows = [(i, f"only {chr(97 + i % 26)}{chr(97 + i // 26)}" + "\nboiler plate" * (i < 12), "", "hot", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, DOCS)
+    cut = lambda **limits: {r.doc_id for r in quality_rules.apply(df, min_docs=3, percent=10, **limits).where("removed_words > 0").collect()}
+    assert cut() == cut(enough_docs=12) == set() and cut(enough_docs=11) == set(range(12))
