@@ -11,7 +11,7 @@ formatted as one conversation:
 In roles and texts, backslash becomes two, "<|" becomes "<\\|", and line ends in roles become "\\n"; so a control string can't stand
 inside a text and all is undone by reading left to right. The loss mask holds the places of the assistant's texts (code points).
 
-Defined results: null role or text counts as empty, null score as 0; a message whose parent is missing or itself is a root; messages on
+Defined results: null role or text counts as empty, null score as 0; the messages of a null tree are one tree of their own; a message whose parent is missing or itself is a root; messages on
 or under a cycle have no root and are left out; a repeated (tree, node) keeps its smallest row; an empty table gives no conversation.
 """
 
@@ -48,7 +48,8 @@ def linear(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn") -> Dat
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, depth, role, text) of the messages on the chosen paths; depth counts from the root, from 0."""
     cols = ["tree", "node", "parent", "role", "text", "score"]
-    one = messages.select(*cols).groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
+    # the tree as a struct: a null one then equals itself in all joins
+    one = messages.select(*cols).withColumn("tree", F.struct("tree")).groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
     one = scratch.saved(one, "messages")
     known = one.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     score = F.coalesce("score", F.lit(0.0))
@@ -73,7 +74,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         step = levels[k].where("up is not null").select("tree", "node", "up")
         higher = found.join(step, ["tree", "node"]).select("tree", "leaf", "rank", "length", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
         found = scratch.saved(found.unionByName(higher), "path")
-    return found.join(one.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "rank", (F.col("length") - 1 - F.col("above")).alias("depth"), "role", "text")
+    return found.join(one.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree.tree", "leaf", "rank", (F.col("length") - 1 - F.col("above")).alias("depth"), "role", "text")
 
 
 def format_paths(found: DataFrame, loss_role: str = "assistant") -> DataFrame:

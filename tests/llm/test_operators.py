@@ -345,3 +345,9 @@ def test_lines_of_a_large_host(spark):
     df = spark.createDataFrame(rows, DOCS)
     cut = lambda **limits: {r.doc_id for r in quality_rules.apply(df, min_docs=3, percent=10, **limits).where("removed_words > 0").collect()}
     assert cut() == cut(enough_docs=12) == set() and cut(enough_docs=11) == set(range(12))
+
+
+def test_chat_without_a_key(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (1, 0, "user", "d")]
+    got = chat.digest(chat.apply(chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
+    assert {(r.conv_id, r.n_turns, r.loss_chars) for r in got} == {(None, 3, 1), (1, 1, 0)} and len(got) == 2
