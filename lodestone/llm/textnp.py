@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -84,12 +85,53 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Longer byte ranges are hashed one at a time by xxh3.
+LONG = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; the bytes behind the end count as 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, equal wherever its bytes are equal."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte range, equal wherever its bytes are equal. Eight bytes at a time go through a bijection, so ranges of
+    the same length of up to eight bytes never share a hash; no prefix sums, whose differences structured strings can cancel."""
+    size = (ends - starts).astype(np.int64)
+    load = eights(data)
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * PRIME)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        piece = load[starts[live] + at] & MASKS[np.minimum(size[live] - at, 8)]
+        out[live] = mix((out[live] ^ piece) * PRIME + np.uint64(at))
+    big = np.flatnonzero(size > LONG)
+    if len(big):
+        raw = memoryview(np.ascontiguousarray(data))
+        for i, a, b in zip(big.tolist(), starts[big].tolist(), ends[big].tolist(), strict=True):
+            out[i] = xxhash.xxh3_64_intdigest(raw[a:b])
+    return out
+
+
+def same_bytes(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges one[a:a+size] and two[b:b+size] hold the same bytes, told on the bytes."""
+    out = np.ones(len(a), bool)
+    x, y = eights(one), eights(two)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        mask = MASKS[np.minimum(size[live] - at, 8)]
+        out[live] &= (x[a[live] + at] ^ y[b[live] + at]) & mask == 0
+        live = live[out[live]]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(one[a[i] : a[i] + size[i]], two[b[i] : b[i] + size[i]])
+    return out
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -97,5 +139,5 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     m = max(0, len(hashes) - n + 1)
     out = np.full(m, np.uint64(n), np.uint64)
     for i in range(n):
-        out = out * PRIME + hashes[i : i + m]
-    return mix(out)
+        out = mix(out ^ hashes[i : i + m]) * PRIME
+    return out

@@ -2,7 +2,8 @@
 
 The vocabulary's splitting pattern never joins text across a single blank that stands between two non-blanks, so such a text is
 encoded as its blank-led pieces; each distinct piece is encoded once and kept for later batches. Texts with other white space next
-to a blank are encoded whole. Either way the ids are those of Tokenizer.encode(text, add_special_tokens=False).
+to a blank are encoded whole. Either way the ids are those of Tokenizer.encode(text, add_special_tokens=False). A kept piece is found
+by its hash and compared on its bytes; a piece whose hash another one has is encoded by itself.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from . import textnp
 
 _ODD = re.compile(r" \s|\s |^ | $")
 #: Pieces, and their ids, kept in a worker; beyond half of either the store starts anew.
-MOST, MOST_IDS = 1 << 21, 8 << 20
+MOST, MOST_IDS, MOST_BYTES = 1 << 21, 8 << 20, 32 << 20
 #: Bytes of white space other than blank and line end; the last four begin longer ones.
 _RARE = np.zeros(256, bool)
 _RARE[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -74,6 +75,10 @@ class Words:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
+        self.pool = np.zeros(1 << 18, np.uint8)  # the bytes of the kept pieces
+        self.place = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self.filled = 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of known pieces, -1 for others."""
@@ -120,16 +125,28 @@ class Words:
             ids += self.tails[tail]
         return ids
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
         encoded = list(map(self._simple, pieces))
         rest = [i for i, e in enumerate(encoded) if e is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             encoded[i] = e.ids
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
-        n = self.known
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        pieces = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        flat, lengths = self._ids(pieces)
+        n, size = self.known, ends - starts
+        joined = np.frombuffer(b"".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint8)
         while n + len(pieces) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+            self.start, self.length, self.place, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.place, self.size))
+        while self.filled + len(joined) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.pool[self.filled : self.filled + len(joined)] = joined
+        self.size[n : n + len(pieces)] = size
+        self.place[n : n + len(pieces)] = self.filled + np.cumsum(size) - size
+        self.filled += len(joined)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(flat)] = flat
@@ -143,7 +160,7 @@ class Words:
         data, offsets = textnp.utf8(texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.large_string()))
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        if self.known > MOST // 2 or self.used > MOST_IDS:
+        if self.known > MOST // 2 or self.used > MOST_IDS or self.filled > MOST_BYTES:
             self.clear()
         row_start = offsets[:-1][offsets[:-1] < offsets[1:]]
         whole = _odd_rows(data, offsets)
@@ -158,8 +175,6 @@ class Words:
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
             new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
             fresh = self.known + np.arange(len(new))
             if self.known + len(new) > MOST:  # a batch of very many new pieces: the store holds this batch alone
                 self.clear()
@@ -167,18 +182,24 @@ class Words:
             collecting = gc.isenabled()
             gc.disable()  # many small lists that hold no cycles
             try:
-                self._learn(pieces)
+                self._learn(data.tobytes(), starts[missing[first]], ends[missing[first]])
             finally:
                 if collecting:
                     gc.enable()
             self._put(new, fresh)
             numbers[missing] = fresh[back]
-        lengths = self.length[numbers]
+        source, begin, lengths = self.ids, self.start[numbers], self.length[numbers]
+        wrong = np.flatnonzero((self.size[numbers] != ends - starts) | ~textnp.same_bytes(data, starts, self.pool, self.place[numbers], np.minimum(ends - starts, self.size[numbers])))
+        if len(wrong):  # another piece has this hash: these are encoded by themselves, behind the kept ids
+            raw = data.tobytes()
+            more, lengths[wrong] = self._ids([raw[a:b].decode() for a, b in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)])
+            source = np.concatenate([self.ids[: self.used], more])
+            begin[wrong] = self.used + np.cumsum(lengths[wrong]) - lengths[wrong]
         done = np.cumsum(lengths)
-        at = np.arange(done[-1]) + np.repeat(self.start[numbers] - (done - lengths), lengths)
+        at = np.arange(done[-1]) + np.repeat(begin - (done - lengths), lengths)
         sums = np.concatenate([[0], done])
         edge = sums[np.searchsorted(starts, offsets)]
-        return self.ids[at], np.diff(edge)
+        return source[at], np.diff(edge)
 
     def _apart(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()

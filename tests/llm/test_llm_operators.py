@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, components, decontaminate, near_dup, packing, pii, quality_rules, rans, rqda, suffix_dedup, tokens, warc
+from lodestone.llm import chat, components, decontaminate, near_dup, packing, pii, quality_rules, rans, rqda, suffix_dedup, textnp, tokens, warc
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +60,40 @@ def test_tokens_are_those_of_the_library(rows):
         assert [f.tolist() for f in flat] == [e.ids for e in store.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def twisted():
+    """Strings that cancel out in prefix sums modulo a power of two, and their complements."""
+    out = []
+    for n in (1024, 2048, 4096):
+        s = "a"
+        while len(s) < n:
+            s += s.translate(str.maketrans("ab", "ba"))
+        out += [s, s.translate(str.maketrans("ab", "ba"))]
+    return out
+
+
+def test_tokens_of_pieces_with_one_hash(monkeypatch):
+    store = tokens.Words(VOCAB)
+    right = lambda texts: [e.ids for e in store.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [store.encode([t])[0].tolist() for t in twisted()] == right(twisted())
+    true_hashes = textnp.word_hashes
+    monkeypatch.setattr(textnp, "word_hashes", lambda *x: true_hashes(*x) % np.uint64(97) + np.uint64(1))
+    crowded, texts = tokens.Words(VOCAB), [f"the quick brown fox x{i} jumps over {i * i}" for i in range(400)]
+    for _ in range(2):
+        ids, lengths = crowded.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == right(texts)
+
+
+def test_ids_of_twisted_strings_end_to_end(spark):
+    store, texts = tokens.Words(VOCAB), twisted()
+    df = spark.createDataFrame([(i, t, "", "a", 0) for i, t in enumerate(texts)], DOCS)
+    want = lambda end: {i: zlib.crc32(np.array([*store.tokenizer.encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in rans.read(rans.write(df, VOCAB)).collect()} == want(2)
+    whole = collections.defaultdict(bytes)
+    for r in sorted(packing.pack(df, VOCAB).collect(), key=lambda r: r.start):
+        whole[r.doc_id] += r.ids
+    assert {k: zlib.crc32(v) for k, v in whole.items()} == want(1)
+
+
 def test_packing(spark, docs, rows, empty):
     store = tokens.Words(VOCAB)
     got = packing.pack(docs, VOCAB, window=64, weights={"a": 0.5, "b": 0.5}).collect()
