@@ -1,14 +1,15 @@
 """Operator 1: mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents in order of their ids. In every round a source of weight w earns quantum = window * w tokens
-and sends the segments at its head that its credit covers; what is left of the credit carries over to its next round. A segment is a
-document's next run of at most `window` tokens, so no source's deficit exceeds one window. Since all queues are known, the round of a
-segment is ceil(tokens of its source up to its end / quantum): the credit carried over windows and partitions needs no state, and the
-stream of sent segments (round, source, place in the queue) is a distributed sort with running sums. The stream is cut every `window`
-tokens; only the last sequence is short. Weights are relative; without any, sources share in proportion to their tokens, so all queues
-end together. A queue that ends leaves its share to the others.
-
-Defined results: null and empty text give one piece, the end id; null source is a queue of its own; rows that repeat a doc_id are
+Each source is a queue of its documents in order of their ids. In every round a source of weight w earns window * w tokens and sends the
+whole tokens its credit covers, cutting documents where the credit ends; the fraction left over is its deficit, carried to its next
+round. So a round is one window's worth at the target proportions, to less than a token for each source. A source that earns fewer than
+`grain` tokens a round waits until it can send `grain`, at an offset of its own, so that rare sources neither fall apart into single
+tokens nor send all at once. Since all queues are known, the tokens a source has sent before a round are floor(round * earned + phase):
+deficits carried over windows and partitions need no state, and the stream of sent segments (round, source, place in the queue) is a
+distributed sort with running sums. The stream is cut every `window` tokens; only the last sequence is short. Weights are relative;
+without any, sources share in proportion to their tokens, so all queues end together. A queue that ends leaves its share to the others.
+
+Defined results: null and empty text give one piece, the end id; null doc_id comes first in its queue; null source is a queue of its own; rows that repeat a doc_id are
 separate documents, told apart by their text's hash and a number; an empty table gives no piece; extra columns are not read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, skew, textnp, tokens
 
-WINDOW = 2048
+WINDOW, GRAIN = 2048, 16
 
 
 def _encoder(vocabulary: str, end: int):
@@ -50,23 +51,34 @@ def encoded(docs: DataFrame, vocabulary: str, end: int, text: str = "text", doc_
     return scratch.saved(rows.mapInArrow(_encoder(vocabulary, end), schema), "ids")
 
 
-def plan(sizes: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+def plan(sizes: DataFrame, window: int = WINDOW, weights: dict[str, float] | None = None, grain: int = GRAIN) -> DataFrame:
     """(row, doc_id, source, start, length, round, position) of the segments of sizes (doc_id, source, row, doc_tokens)."""
     queued = skew.running_sum(sizes, ["source"], ["doc_id", "row"], "doc_tokens", "before", "queues")
     totals = sizes.groupBy("source").agg(F.sum("doc_tokens").alias("total"))
     if weights is None:
-        share = totals.crossJoin(totals.agg(F.sum("total").alias("all"))).select("source", (F.col("total") / F.col("all")).alias("w"))  # one row on the right
+        share = totals.select("source", F.col("total").cast("double").alias("w"))
     else:
         named = sizes.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()] or [("", 1.0)], "source string, w double")
         # a source without a weight gets the smallest one, so that its rows are still packed
         least = min([v for v in weights.values() if v > 0], default=1.0)
         share = totals.join(named, "source", "left").select("source", F.when(F.col("w") > 0, F.col("w")).otherwise(least).alias("w"))
-    share = share.select("source", F.greatest(F.col("w") * window, F.lit(1e-9)).alias("quantum"))
+    share = scratch.saved(share, "shares")
+    whole = share.agg(F.sum("w")).first()[0] or 1.0
+    earned = F.greatest(F.col("w") / F.lit(float(whole)) * window, F.lit(1e-9))
+    share = share.select("source", earned.alias("earned"), (F.pmod(F.xxhash64("source"), F.lit(4096)) / 4096).alias("phase"))
     # one row for each source
-    rows = queued.join(share, "source").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(window).cast("long"))))
-    rows = rows.withColumn("length", F.least(F.lit(window).cast("long"), F.col("doc_tokens") - F.col("start")))
-    rows = rows.withColumn("round", F.ceil((F.col("before") + F.col("start") + F.col("length")) / F.col("quantum")).cast("long"))
-    return skew.running_sum(rows.select("row", "doc_id", "source", "doc_tokens", "start", "length", "round"), [], ["round", "source", "doc_id", "row", "start"], "length", "position", "stream")
+    rows = queued.join(share, "source")
+    q, before, after = F.col("earned"), F.col("before"), F.col("before") + F.col("doc_tokens")
+    often = q >= grain
+    sent = lambda r: F.greatest(F.lit(0).cast("long"), F.when(r <= 0, F.lit(0).cast("long")).otherwise(F.floor(r * q + F.col("phase")).cast("long")))
+    first = F.when(often, F.greatest(F.lit(0).cast("long"), F.floor((before - 1) / q).cast("long") - 1)).otherwise(F.floor(before / grain).cast("long"))
+    last = F.when(often, F.floor(after / q).cast("long") + 1).otherwise(F.floor((after - 1) / grain).cast("long"))
+    turn = F.col("turn")
+    rows = rows.withColumn("turn", F.explode(F.sequence(first, last)))
+    low = F.greatest(before, F.when(often, sent(turn)).otherwise(turn * grain))
+    high = F.least(after, F.when(often, sent(turn + 1)).otherwise((turn + 1) * grain))
+    rows = rows.select("row", "doc_id", "source", "doc_tokens", (low - before).alias("start"), (high - low).alias("length"), F.when(often, turn).otherwise(F.floor((turn + F.col("phase")) * grain / q).cast("long")).alias("round"))
+    return skew.running_sum(rows.where("length > 0"), [], ["round", "source", "doc_id", "row", "start"], "length", "position", "stream")
 
 
 def _cut(window: int):
@@ -88,10 +100,10 @@ def _cut(window: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, end: int = 1, window: int = WINDOW, weights: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end: int = 1, window: int = WINDOW, weights: dict[str, float] | None = None, grain: int = GRAIN) -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     ids = encoded(docs, vocabulary, end)
-    segments = plan(ids.select("doc_id", "source", "row", "doc_tokens"), window, weights)
+    segments = plan(ids.select("doc_id", "source", "row", "doc_tokens"), window, weights, grain)
     parts = segments.groupBy("row").agg(F.collect_list(F.struct("start", "length", "position")).alias("parts"))
     joined = ids.select("row", "doc_id", "doc_tokens", "ids", "width").join(parts.hint("shuffle_hash"), "row")
     return joined.drop("row").mapInArrow(_cut(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
