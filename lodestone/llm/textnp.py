@@ -117,19 +117,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def same_bytes(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the ranges one[a:a+size] and two[b:b+size] hold the same bytes, told on the bytes."""
+def same_bytes(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, size: np.ndarray, most: int = LONG) -> np.ndarray:
+    """Whether the ranges one[a:a+size] and two[b:b+size] hold the same bytes, told on the bytes; those of more than
+    `most` bytes one at a time."""
     out = np.ones(len(a), bool)
     x, y = eights(one), eights(two)
-    live = np.flatnonzero((size > 0) & (size <= LONG))
-    for at in range(0, LONG, 8):
+    live = np.flatnonzero((size > 0) & (size <= most))
+    for at in range(0, most, 8):
         live = live[size[live] > at]
         if not len(live):
             break
         mask = MASKS[np.minimum(size[live] - at, 8)]
         out[live] &= (x[a[live] + at] ^ y[b[live] + at]) & mask == 0
         live = live[out[live]]
-    for i in np.flatnonzero(size > LONG).tolist():
+    for i in np.flatnonzero(size > most).tolist():
         out[i] = np.array_equal(one[a[i] : a[i] + size[i]], two[b[i] : b[i] + size[i]])
     return out
 

@@ -4,10 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,23 +189,96 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.report(decontaminate.scan(empty, bench)).count() == 0 and decontaminate.report(decontaminate.scan(docs, bench.limit(0))).where("n_hit > 0").count() == 0
 
 
-def test_suffix_dedup(spark, docs, rows, empty):
+def exact_repeats(rows, length=100):
     seen, expect = set(), {}
-    for d, t, *_ in sorted(rows):
+    for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         b = (t or "").encode()
         cov = bytearray(len(b))
-        for j in range(len(b) - 99):
-            g = b[j : j + 100]
+        for j in range(len(b) - length + 1):
+            g = b[j : j + length]
             if g in seen:
-                cov[j : j + 100] = b"\1" * 100
+                cov[j : j + length] = b"\1" * length
             seen.add(g)
         expect[d] = (len(b), sum(cov), sum(1 for i in range(len(b)) if cov[i] and (not i or not cov[i - 1])), hashlib.sha256(bytes(x for x, c in zip(b, cov, strict=True) if not c)).hexdigest())
-    for most in (200_000, 2):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.apply(docs, most=most).collect()}
-        assert got == expect
+    return expect
+
+
+def repeats_of(df, **more):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.apply(df, **more).collect()}
+
+
+def test_suffix_dedup(spark, docs, rows, empty):
+    for most in (2000, 1):
+        assert repeats_of(docs, most=most) == exact_repeats(rows)
     assert suffix_dedup.apply(empty).count() == 0
     twice = suffix_dedup.apply(docs.unionAll(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("kept_sha256").alias("k")).collect()
     assert all((r.n, r.k) == (2, 1) for r in twice)
+    with_null = [(None, *rows[20][1:]), *rows]
+    assert repeats_of(spark.createDataFrame(with_null, DOCS)) == exact_repeats(with_null)
+
+
+def test_suffix_dedup_of_one_anchor_in_all_documents(spark):
+    rng = random.Random(13)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    short, long = noise(60), noise(130)  # the first alone never fills a string; the second holds 31 strings that all share
+    rows = [(i, noise(rng.randint(0, 90)) + (short if i % 2 else long) + noise(rng.randint(0, 90)), "", "", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    for most in (2000, 20):
+        assert repeats_of(df, most=most) == exact_repeats(rows)
+
+
+def test_suffix_dedup_in_chunks(spark, monkeypatch):
+    rng = random.Random(14)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    base = noise(3000)
+    rows = [(0, base[500:1700], "", "", 0), (1, noise(700) + base + noise(333) + base[200:2500], "", "", 0), (2, "é" * 3000 + base, "", "", 0)]
+    table = pa.Table.from_pydict({"text": [r[1] for r in rows], "doc": [0, 1, 2], "same": [0, 0, 0]}).to_batches()
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    starts = collections.defaultdict(list)
+    for x in suffix_dedup._stretcher(100, 0)(iter(table)):
+        for d, s, shape, first in zip(*(x.column(c).to_pylist() for c in ("doc", "start", "shape", "first")), strict=True):
+            starts[d] += range(s, s + (shape >> 8 if first < 0 else shape))
+    assert all(sorted(starts[r[0]]) == list(range(len(r[1].encode()) - 99)) for r in rows)
+
+
+def test_stretches_of_one_hash_are_found_out(spark, docs, rows, monkeypatch):
+    """With a hash that collides, the digests say so and another hash is taken; the sort's order is verified too."""
+    texts = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("same"), F.coalesce("text", F.lit("")).alias("text"))
+    monkeypatch.setattr(suffix_dedup, "_stretcher", colliding)
+    assert suffix_dedup._repeats(texts, 100, 2000, 0) is None
+    assert repeats_of(docs) == exact_repeats(rows)
+    data = [bytes(rng.choice(b"ab") for _ in range(130)) for rng in [random.Random(1)] for _ in range(40)]
+    data += data[:10]
+    args = (data, np.zeros(50, np.int64), np.full(50, 31), np.full(50, 68), np.arange(50), 100)
+    right = sorted(zip(*(x.tolist() for x in suffix_dedup.repeated(*args)), strict=True))
+    monkeypatch.setattr(suffix_dedup, "common", lambda sums, down, a, b, length: np.full(len(a), length))
+    assert sorted(zip(*(x.tolist() for x in suffix_dedup.repeated(*args)), strict=True)) == right and len(right) >= 310
+
+
+def colliding(length, seed, plain=suffix_dedup._stretcher):
+    """Stretches of seed 0 have one of two hashes."""
+    def run(batches):
+        for x in plain(length, seed)(batches):
+            if seed == 0:
+                at = x.schema.get_field_index("bytes")
+                x = x.set_column(at, "bytes", pa.array(np.where(x.column("first").to_numpy() < 0, x.column("bytes").to_numpy() & 1, x.column("bytes").to_numpy())))
+            yield x
+    return run
+
+
+def test_very_long_text_in_bounded_memory(spark):
+    code = """if True:
+        import resource, numpy as np, pyarrow as pa
+        from lodestone.llm import suffix_dedup
+        text = np.random.default_rng(1).integers(97, 123, 64 << 20).astype(np.uint8).tobytes().decode()
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.large_string()), "doc": [1], "same": [0]})
+        del text
+        assert sum(x.num_rows for x in suffix_dedup._stretcher(100, 0)(iter([batch]))) > 1_000_000
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+    """
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(Path(__file__).resolve().parents[2]))
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
 
 
 def test_rans_blocks_and_files(spark, docs, rows, empty):
