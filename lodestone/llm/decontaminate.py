@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII letters in lower case. Every run of 8 consecutive words
 of an item is a window (all words of a shorter item are one). A document's window hashes are looked up in the set and each hit is
-verified on the words' bytes. The benchmark is a stated query set: it is broadcast in blocks of at most `block_bytes` of text, and
-the document table is scanned once for each block.
+verified on the words' bytes. The benchmark is a stated query set: it is read and broadcast in blocks of at most `block_bytes` of text
+(about 5 times that much memory), one at a time; for each block the document table is scanned once and the hits are written.
 
 Defined results: null and empty texts have no words; items without words have no window; equal windows of several items hit each of
 them; repeated rows get equal results; extra columns pass through `clean`; an empty table on either side gives no hits.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +24,47 @@ from pyspark.sql import functions as F
 from . import scratch, textnp
 
 WINDOW = 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Windows:
-    """The windows of a block of items: sorted hashes by length, the items of each, and their bytes for verification."""
+    """The windows of a block of items: for each length the sorted hashes with their first words; what a hash stands for is read and
+    kept when a document first asks for it."""
 
     def __init__(self, items: list[tuple[object, str]], n: int):
         data, offsets = textnp.utf8(pa.array([t for _, t in items], pa.large_string()))
-        data = textnp.LOWER[data]
-        starts, ends, rows = textnp.words(data, offsets, textnp.table("alnum"))
-        hashes = textnp.word_hashes(data, starts, ends)
-        counts = np.bincount(rows, minlength=len(items)) if len(items) else np.zeros(0, int)
-        first = np.cumsum(counts) - counts
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
-        found: dict[int, dict[tuple[int, bytes], set[str]]] = {}
-        for i, (item, _) in enumerate(items):
-            m = min(n, int(counts[i]))
-            for k in range(first[i], first[i] + counts[i] - m + 1) if m else ():
-                key = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(k, k + m))
-                h = int(textnp.gram_hashes(hashes[k : k + m], m)[0])
-                found.setdefault(m, {}).setdefault((h, key), set()).add(str(item))
-        for m, windows in found.items():
-            ordered = sorted(windows)
-            small = np.zeros(1 << 20, bool)
-            h = np.array([x for x, _ in ordered], np.uint64)
-            small[(h & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.by_length[m] = (h, small, [(key, windows[x, key]) for x, key in ordered])
+        self.data = textnp.LOWER[data]
+        starts, ends, rows = textnp.words(self.data, offsets, textnp.table("alnum"))
+        hashes = textnp.word_hashes(self.data, starts, ends)
+        self.starts, self.ends, self.rows = starts.astype(np.int32), ends.astype(np.int32), rows.astype(np.int32)
+        self.ids = [str(i) for i, _ in items]
+        counts = np.bincount(rows, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m in np.unique(np.minimum(counts, n)).tolist():
+            if m:
+                grams = textnp.gram_hashes(hashes, m)
+                own = np.flatnonzero((rows[: len(grams)] == rows[m - 1 :]) & (np.minimum(counts, n)[rows[: len(grams)]] == m))
+                own = own[np.argsort(grams[own], kind="stable")]
+                small = np.zeros(1 << 20, bool)
+                small[(grams[own] & np.uint64(0xFFFFF)).astype(np.int64)] = True
+                self.by_length[m] = (grams[own], small, own.astype(np.int32))
+        self.read: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def named(self, m: int, place: int) -> dict[bytes, set[str]]:
+        """The words of the windows that have the hash at this place, and the items of each."""
+        known, _, at = self.by_length[m]
+        if (m, place) not in self.read:
+            found: dict[bytes, set[str]] = {}
+            p = place
+            while p < len(known) and known[p] == known[place]:
+                found.setdefault(phrase(self.data, self.starts, self.ends, int(at[p]), m), set()).add(self.ids[self.rows[at[p]]])
+                p += 1
+            self.read[m, place] = found
+        return self.read[m, place]
+
+
+def phrase(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, m: int) -> bytes:
+    return b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(first, first + m))
 
 
 def _scan(block, carried: str):
@@ -65,19 +80,16 @@ def _scan(block, carried: str):
                 n_words = np.bincount(rows, minlength=part.num_rows).astype(np.int64)
                 hit = np.zeros(len(starts), bool)
                 items: dict[int, set[str]] = {}
-                for m, (known, small, named) in windows.by_length.items():
+                for m, (known, small, _) in windows.by_length.items():
                     grams = textnp.gram_hashes(hashes, m)
                     at = np.flatnonzero(small[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
                     at = at[rows[at] == rows[at + m - 1]]
                     place = np.searchsorted(known, grams[at])
                     sure = (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == grams[at])
                     for k, p in zip(at[sure].tolist(), place[sure].tolist(), strict=True):
-                        key = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(k, k + m))
-                        while p < len(known) and known[p] == grams[k]:
-                            if named[p][0] == key:
-                                hit[k : k + m] = True
-                                items.setdefault(int(rows[k]), set()).update(named[p][1])
-                            p += 1
+                        if ids := windows.named(m, p).get(phrase(data, starts, ends, k, m)):
+                            hit[k : k + m] = True
+                            items.setdefault(int(rows[k]), set()).update(ids)
                 edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                 runs: dict[int, list] = {}
                 first = np.cumsum(n_words) - n_words
@@ -107,25 +119,30 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
         if size > most:
             yield held
             held, size = [], 0
-    yield held
+    if held or not size:
+        yield held
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, items (ids of items with occurring windows, as sorted strings) and spans (runs of hit words: word numbers and byte places)."""
     spark = docs.sparkSession
     scratch.ship(spark)
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
-    if len(blocks) == 1:
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
         # One block: the scan carries each row's columns along instead of joining them again.
-        return _carried(docs, spark.sparkContext.broadcast(Windows(blocks[0], n)), text)
+        return _carried(docs, spark.sparkContext.broadcast(Windows(block, n)), text)
     numbered = scratch.saved(docs.drop("n_words", "items", "spans").withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = []
-    for block in blocks:
+    found: list[DataFrame] = []
+    for block in chain([block, following], blocks):
         sent = spark.sparkContext.broadcast(Windows(block, n))
-        found.append(numbered.select(F.col("__row").alias("row"), F.col(text).alias("text")).mapInArrow(_scan(sent, "row"), SCHEMA))
+        scanned = numbered.select(F.col("__row").alias("row"), F.col(text).alias("text")).mapInArrow(_scan(sent, "row"), SCHEMA)
+        # the first block's rows tell the number of words; of the others only hits are written
+        found.append(scratch.saved(scanned.where(F.size("items") > 0) if found else scanned, "hits"))
+        sent.destroy()
     every = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("__spans"))
-    every = every.withColumn("spans", _merged("__spans")).drop("__spans")
-    return numbered.join(every, numbered["__row"] == every["row"]).drop("__row", "row")
+    every = every.withColumn("spans", _merged("__spans")).drop("__spans").withColumnRenamed("row", "__row")
+    return numbered.join(every, "__row").drop("__row")
 
 
 def _merged(spans: str):

@@ -4,26 +4,30 @@ Documents with equal shingle sets are one node. TREES trees each read a node's s
 their own. Nodes that agree in a tree's first `depth` values form a region; depth is chosen so that a pair at the threshold misses all
 regions with a chance below 1e-6. A region of more than REGION nodes is split by the next value of its order, and so on, so depth
 adapts to how dense it is; the member at the end of the heaviest branch (the region's likely original) and each member's neighbour
-with the longest common prefix stay with every part. Within a part the signatures rank pairs; those that may reach the threshold
+with the longest common prefix stay with every part. Regions of more than `most` nodes are range-partitioned by the next values of the
+order and read in pieces, so none is held by one task. Within a part the signatures rank pairs; those that may reach the threshold
 (estimate above it less 4.5 standard deviations) are linked as a spanning forest by falling estimate and confirmed exactly. Members
-that confirmed links have not brought together come again, each with its 8, 64, ... best untried partners, until none is left. So
-what is confirmed grows with the links needed, not with the pairs of a group. Parts keep some pairs of a region of more than REGION
-nodes from ever being compared; so what those regions' members may still be linked with is found exactly, by joining them on the rarest
-shingles of each set (prefix filter) and confirming every pair of different classes.
-
-Defined results: texts without words, null included, have an empty set and are linked with nothing; fewer words than the shingle
-length are one shingle; rows that repeat a doc_id are one document's versions and share a class; extra columns aren't read; an
-empty table gives an empty table.
+that confirmed links have not brought together come again, each with its 8, 64, ... best untried partners, until none is left. So pairs
+within a class cost no more than its links; but pairs of different classes whose estimate stays above the bound (similarities of 0.64 to
+0.8) are all confirmed, for nothing less tells them from links. Parts keep some pairs of a region of more than `most` nodes from ever
+being compared; so what those regions' members may still be linked with is found exactly, by joining them on the rarest shingles of each
+set (prefix filter) and confirming every pair of different classes.
+
+Defined results: texts without words, null included, have an empty set and are linked with nothing; so are rows without a doc_id, which
+have no class (null) and are kept; fewer words than the shingle length are one shingle; rows that repeat a doc_id are one document's
+versions and share a class; extra columns aren't read; an empty table gives an empty table. Shingles are compared by 64-bit hashes: among
+10**12 distinct ones about 27,000 pairs share a hash, which moves a similarity by less than its share of one set.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, skew, textnp
@@ -102,14 +106,16 @@ def _keys(depth: int):
             if not batch.num_rows:
                 continue
             signs = _signs(batch.column("sig"))
-            keys = np.empty((TREES, len(signs)), np.uint64)
+            keys, following = np.empty((TREES, len(signs)), np.uint64), np.empty((TREES, len(signs)), np.uint64)
             for t in range(TREES):
                 h = np.full(len(signs), np.uint64(t + 1), np.uint64)
                 for d in range(depth):
                     h = textnp.mix(h * textnp.PRIME + signs[:, (WIDTH * t + d) % HASHES])
                 keys[t] = h
+                a, b = (signs[:, (WIDTH * t + depth + k) % HASHES].astype(np.uint64) for k in (0, 1))
+                following[t] = a << np.uint64(31) | b >> np.uint64(1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(signs))), pa.array(np.tile(batch.column("node").to_numpy(), TREES))], ["key", "tree", "node"]
+                [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(signs))), pa.array(np.tile(batch.column("node").to_numpy(), TREES)), pa.array(following.ravel().view(np.int64))], ["key", "tree", "node", "next"]
             )
 
     return run
@@ -173,8 +179,9 @@ def _spanning(same: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(depth: int, least: int, quota: int, most: int):
-    """Pairs to confirm in each region (rows sorted by key). quota 0: spanning forests; else each member's `quota` best partners of other classes."""
+def _candidates(depth: int, least: int, quota: int, most: int, pieces: int = 16):
+    """Pairs to confirm in each region (rows sorted by key and the order's next values). quota 0: spanning forests; else each member's
+    `quota` best partners of other classes. Of one region, pieces of `pieces * most` consecutive rows are held at most."""
 
     def region(tree: int, nodes: np.ndarray, comps: np.ndarray, signs: np.ndarray, out: list) -> None:
         for part in _parts(signs, np.arange(len(nodes)), tree, depth, most):
@@ -216,6 +223,9 @@ def _candidates(depth: int, least: int, quota: int, most: int):
                 continue
             held.append(batch)
             if held[0].column("key")[0] == batch.column("key")[-1]:
+                if sum(x.num_rows for x in held) >= pieces * most:  # a piece of a large region
+                    yield emit(pa.Table.from_batches(held).combine_chunks())
+                    held = []
                 continue  # one region so far
             table = pa.Table.from_batches(held).combine_chunks()
             keys = table.column("key").to_numpy()
@@ -255,7 +265,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch.saved(both.select("a", "b", (100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).alias("near")), "judged")
 
 
-def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int, most: int) -> DataFrame:
     """All pairs (a, b) of different classes that may reach the threshold.
 
     Sets of x and y shingles at the threshold share percent % of the larger one at least, so, with all shingles in one order, they share
@@ -267,56 +277,76 @@ def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     first = F.slice("gs", F.lit(1), F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)"))
     posts = ranked.select("node", "n", F.explode(first).alias("x")).select("node", "n", "x.g", "x.c").where("c > 1").join(comps, "node")
     posts = scratch.saved(posts, "posts")
-    # lists of more than REGION nodes are spread over tasks
-    last = F.when(F.col("c") > REGION, F.lit(skew.SALTS - 1)).otherwise(F.lit(0))
+    # lists of more than `most` nodes are spread over tasks
+    last = F.when(F.col("c") > most, F.lit(skew.SALTS - 1)).otherwise(F.lit(0))
     one = posts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "g", F.pmod(F.xxhash64("node"), last + 1).cast("int").alias("salt"))
     two = posts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "g", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
     joined = one.join(two.hint("merge"), ["g", "salt"]).where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return joined.select("a", "b").distinct()
 
 
+def _crowded(regions: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of regions (key, ...) of 2 to `most` rows, and those of larger ones. Counted before they are moved, and the larger ones
+    are taken out first, so no region's rows meet in one task."""
+    counts = scratch.saved(regions.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "counts")
+    large = scratch.saved(counts.where(F.col("size") > most).select("key", F.lit(True).alias("large")), "large")
+    small = counts.where(F.col("size") <= most).select("key")
+    if large.isEmpty():
+        return scratch.saved(regions.join(small, "key", "left_semi"), "regions"), regions.limit(0)
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = regions.join(F.broadcast(large), "key", "left") if few else skew.lookup(regions, large, ["key"], F.col("node"))
+    marked = marked if few else scratch.saved(marked, "marked")
+    return scratch.saved(marked.where("large is null").drop("large").join(small, "key", "left_semi"), "regions"), scratch.saved(marked.where("large").drop("large"), "wide")
+
+
 def depth_for(percent: int) -> int:
     """The deepest prefix at which a pair at the threshold misses all trees with a chance below 1e-6."""
     s = percent / 100
     return max([d for d in range(1, 17) if TREES * math.log1p(-min(s**d, 1 - 1e-12)) < math.log(1e-6)], default=1)
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", most: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
     scratch.ship(spark)
     given = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = scratch.saved(given.mapInArrow(_signer(n), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
-    copies = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    known = skew.lookup(signed, copies, ["n", "h1", "h2"], F.col("doc_id")).select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).alias("node"), "sig")
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    copies = signed.where(linkable).groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    known = skew.lookup(signed, copies, ["n", "h1", "h2"], F.col("doc_id")).select("doc_id", "n", F.when(linkable, F.coalesce("first", "doc_id")).alias("node"), "sig")
     known = scratch.saved(known, "nodes")
     nodes = known.where("node = doc_id").groupBy("node").agg(F.max("sig").alias("sig"))
     depth = depth_for(percent)
     share = percent / 100
     least = math.floor(HASHES * (share - 4.5 * math.sqrt(share * (1 - share) / HASHES)))
-    regions = nodes.mapInArrow(_keys(depth), "key long, tree int, node long")
-    crowded = scratch.saved(regions.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "regions")
-    wide = crowded.where(F.col("size") > REGION).drop("size")
-    crowded = crowded.drop("size")
+    regions = nodes.mapInArrow(_keys(depth), "key long, tree int, node long, next long")
+    crowded, wide = _crowded(scratch.saved(regions, "keys"), most)
     scratch.tidy(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signs = nodes.join(crowded.select("node").distinct(), "node", "left_semi")
+    signs = nodes.join(crowded.select("node").unionByName(wide.select("node")).distinct(), "node", "left_semi")
     signs = scratch.saved(signs, "signs")
     linked: DataFrame | None = None
     tried: DataFrame | None = None
     sets: DataFrame | None = None
     labels: DataFrame | None = None
     quota = 0
+    any_wide = not wide.isEmpty()
     while True:
-        rows = crowded
-        if labels is not None:
-            rows = crowded.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            rows = rows.join(mixed, "key", "left_semi")
-        else:
-            rows = rows.withColumn("comp", F.col("node"))
-        sorted_ = rows.join(signs, "node").repartition(parts, "key").sortWithinPartitions("key", "node").select("key", "tree", "node", "comp", "sig")
-        pairs = scratch.saved(sorted_.mapInArrow(_candidates(depth, least, quota, REGION), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+        found = []
+        for table, large in ((crowded, False), (wide, True)):
+            if large and not any_wide:
+                continue
+            if labels is not None:
+                rows = (skew.lookup(table, labels, ["node"], F.col("key")) if large else table.join(labels, "node", "left")).withColumn("comp", F.coalesce("comp", "node"))
+                mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.lit(True).alias("mixed"))
+                rows = (skew.lookup(rows, mixed, ["key"], F.col("node")) if large else rows.join(mixed, "key")).where("mixed")
+            else:
+                rows = table.withColumn("comp", F.col("node"))
+            rows = rows.join(signs, "node").select("key", "tree", "node", "comp", "sig", "next")
+            # a large region spreads over as many tasks as it needs
+            rows = rows.repartitionByRange(parts, "key", "next", "node") if large else rows.repartition(parts, "key")
+            found.append(rows.sortWithinPartitions("key", "next", "node").drop("next").mapInArrow(_candidates(depth, least, quota, most), "a long, b long, more boolean"))
+        pairs = scratch.saved(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
         new = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         new = scratch.saved(new, "new")
         more = not new.isEmpty()
@@ -333,7 +363,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
         elif labels is None or pairs.where("more").isEmpty():
             break
         quota = 8 if not quota else quota * 8
-    if not wide.isEmpty():
+    if any_wide:
         if labels is not None:
             wide = skew.lookup(wide, labels, ["node"], F.col("key"))
         else:
@@ -342,7 +372,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
         mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         comps = scratch.saved(wide.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "members")
         sets = _full_sets(given, comps.select("node"), n)
-        pairs = _prefix_pairs(sets, comps, percent)
+        pairs = _prefix_pairs(sets, comps, percent, most)
         new = scratch.saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "new")
         near = _confirmed(new, sets, percent).where("near").select("a", "b")
         if not near.isEmpty():
@@ -355,4 +385,4 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     else:
         out = out.withColumn("comp", F.lit(None).cast("long"))
     component = F.coalesce("comp", "node", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

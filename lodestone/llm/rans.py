@@ -9,8 +9,9 @@ cut into blocks of BLOCK ids. A block is coded by LANES interleaved 64-bit coder
 which emit 32-bit words; it starts with its states and can be decoded without any other block. The checkpoint table has each block's
 place, first id, and CRC-32 of its bytes and of its ids, so readers can start at any block and verify what they read.
 
-Defined results: null and empty texts give only the end id; an empty table writes no file and reads back no row; rows that repeat a
-doc_id follow one another in order of their text.
+Defined results: null and empty texts give only the end id; documents without a doc_id come first, their number stands in the header,
+and they are read back without one; an empty table writes no file and reads back no row; rows that repeat a doc_id follow one another in
+order of their text; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ def decode_block(raw: bytes, n: int, freq: np.ndarray, start: np.ndarray, symbol
     return out
 
 
-def write_file(sink, ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> None:
+def write_file(sink, ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, nameless: int = 0) -> None:
+    """The first `nameless` documents have no doc_id."""
     counts = np.bincount(ids, minlength=1)
     freq = frequencies(counts)
     start = np.cumsum(freq) - freq
@@ -105,7 +107,7 @@ def write_file(sink, ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) ->
         at += len(raw)
     table = zlib.compress(used.astype("<u4").tobytes() + freq[used].astype("<u4").tobytes(), 1)
     documents = zlib.compress(docs.astype("<i8").tobytes() + lengths.astype("<i8").tobytes(), 1)
-    header = json.dumps({"scale": SCALE, "lanes": LANES, "ids": len(ids), "docs": len(docs), "used": len(used), "table": len(table), "documents": len(documents), "body": at}).encode()
+    header = json.dumps({"scale": SCALE, "lanes": LANES, "ids": len(ids), "docs": len(docs), "nameless": nameless, "used": len(used), "table": len(table), "documents": len(documents), "body": at}).encode()
     points = b"".join(struct.pack("<qqqqII", *c) for c in checks)
     head = MAGIC + struct.pack("<I", len(header)) + header + table + documents
     for part in (head, body.getvalue(), points, struct.pack("<qI", len(checks), zlib.crc32(head + points)), MAGIC):
@@ -152,11 +154,12 @@ class Reader:
             raise ValueError(f"the ids of block {k} fail their checksum")
         return ids
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, first id's place in the file, ids), one block in memory at a time besides the document's own ids."""
         held: list[np.ndarray] = []
         k = have = at = 0
-        for doc, length in zip(self.docs.tolist(), self.lengths.tolist(), strict=True):
+        names = [None] * self.header["nameless"] + self.docs.tolist()[self.header["nameless"] :]
+        for doc, length in zip(names, self.lengths.tolist(), strict=True):
             while have < length:
                 held.append(self.block(k))
                 have += len(held[-1])
@@ -178,22 +181,23 @@ def _writer(folder: str, vocabulary: str, end: int, most: int):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         store = tokens.words(vocabulary)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        number = 0
+        number = nameless = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, number
+            nonlocal held, number, nameless
             ids, docs, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             name = f"{base}/part-{part:06d}-{number:06d}.rans"
             with system.open_output_stream(f"{name}.{attempt}", compression=None) as sink:  # named only when whole; a task that runs again replaces it
-                write_file(sink, ids, docs, lengths)
+                write_file(sink, ids, docs, lengths, nameless)
             system.move(f"{name}.{attempt}", name)
-            held, number = [], number + 1
+            held, number, nameless = [], number + 1, 0
             return pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "n_ids": [len(ids)]})
 
         for batch in batches:
             for piece in textnp.slices(batch, "text", 2 << 20):
                 ids, lengths = tokens.end_with(*store.encode(piece.column("text")), end)
-                held.append((ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), lengths))
+                held.append((ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, piece.column("doc_id").fill_null(0).to_numpy(), lengths))
+                nameless += piece.column("doc_id").null_count
                 if sum(len(x) for x, _, _ in held) >= most:
                     yield flush()
         if held:

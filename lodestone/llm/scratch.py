@@ -2,24 +2,78 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_open: dict[str, list[str]] = {}
-_scope = "query"
+
+
+class Scope:
+    """The tables that an operator or a pipeline stage left, deleted when it is closed; what read them must have been written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        name = spark.sparkContext.applicationId
+        if name not in _sessions:
+            _sessions[name] = []
+            atexit.register(_leave, name)
+        _sessions[name].append(self)
+
+    def close(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+        if self in _sessions.get(name := self.spark.sparkContext.applicationId, ()):
+            _sessions[name].remove(self)
+
+    @contextmanager
+    def entered(self) -> Iterator[Scope]:
+        """Tables written within belong to this scope; those of other scopes and threads are left alone."""
+        token = _current.set(self)
+        try:
+            yield self
+        finally:
+            _current.reset(token)
+
+
+_current: ContextVar[Scope | None] = ContextVar("scope", default=None)
+#: The open scopes of each application, closed when the program ends; `_own` has those of callers that entered none.
+_sessions: dict[str, list[Scope]] = {}
+_own: dict[str, Scope] = {}
+
+
+def scope(spark: SparkSession) -> Scope:
+    """The scope entered last; without one, that of the session, which ends with the program."""
+    name = spark.sparkContext.applicationId
+    if _current.get() is None and name not in _own:
+        _own[name] = Scope(spark)
+    return _current.get() or _own[name]
+
+
+def _leave(name: str) -> None:
+    active = SparkContext._active_spark_context
+    for own in list(_sessions.pop(name)):
+        if active is not None and active.applicationId == name:
+            own.close()
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (tests, one machine)."""
+    """The session's spark.checkpoint.dir. Where that is unset: a temporary folder on a master of one machine, an error on any other."""
     at = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {SETTING} to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set(SETTING, at)
     return at.rstrip("/")
@@ -27,7 +81,7 @@ def folder(spark: SparkSession) -> str:
 
 def path(spark: SparkSession, name: str) -> str:
     at = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _open.setdefault(_scope, []).append(at)
+    scope(spark).paths.append(at)
     return at
 
 
@@ -45,22 +99,6 @@ def delete(spark: SparkSession, at: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a saved table that nothing reads any more."""
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if at.replace("file:///", "/").startswith(folder(spark).replace("file:///", "/").replace("file:", "")):
-            delete(spark, at)
-
-
-def begin(spark: SparkSession, scope: str) -> None:
-    """Starts a pipeline stage: what the stages before it left is deleted, for their results have been written."""
-    global _scope
-    for old in [k for k in _open if k.startswith("stage:")]:
-        for at in _open.pop(old):
-            delete(spark, at)
-    _scope = f"stage:{scope}"
-
-
 _shipped: set[str] = set()
 
 
@@ -82,13 +120,3 @@ def tidy(spark: SparkSession) -> None:
     """Lets go of shuffle files whose queries have ended; else they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def saved_result(df: DataFrame) -> DataFrame:
-    """A pipeline stage's result, written and read again; it stays when later stages begin."""
-    global _scope
-    held, _scope = _scope, "query"
-    try:
-        return saved(df, "stage")
-    finally:
-        _scope = held

@@ -8,7 +8,8 @@ smallest hash), of at most SAMPLE_BYTES bytes each; it changes sizes only, never
 The reader loads the dictionary, decodes frame by frame, and checks: the record's version line, that required headers stand there
 once, Content-Length against the block, the closing empty lines, the HTTP head, and each response's digest.
 
-Defined results: null html counts as empty, null url as an empty one; pages that repeat a page_id each get a record; an empty table
+Defined results: null html counts as empty, null url as an empty one; a null page_id has an empty name and is read back as null (it
+revisits a copy that has a page_id; without such a copy it is a response); pages that repeat a page_id each get a record; an empty table
 gives no archive; extra columns are not read.
 """
 
@@ -46,11 +47,11 @@ def train(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> byt
         return b""
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers_to is not None else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url.translate({10: '%0A', 13: '%0D'})}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
         *([] if refers_to is None else [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         f"Content-Length: {len(block)}",
@@ -78,7 +79,7 @@ def parse(raw: bytes) -> dict:
     http, gap, payload = rest[:n].partition(b"\r\n\r\n")
     sizes = [int(x.split(b":")[1]) for x in http.split(CRLF)[1:] if x.lower().startswith(b"content-length:")]
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    page = lambda x: int(name) if (name := x.removeprefix("<urn:page:").removesuffix(">")) else None
     refers = fields.get("warc-refers-to")
     if not http.startswith(b"HTTP/1.1 200") or not gap or len(sizes) != 1:
         raise ValueError("no HTTP response in the block")
@@ -167,7 +168,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 1000, level:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce(pages["url"], F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"), F.octet_length(html).alias("size"))
     large = F.col("size") >= least
     same = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = skew.lookup(rows, same, ["digest"], F.col("page_id")).withColumn("refers_to", F.when(large & (F.col("page_id") != F.col("first")), F.col("first")))
+    found = skew.lookup(rows, same, ["digest"], F.struct("page_id", "url")).withColumn("refers_to", F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     sent = found.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_writer(folder, train(pages), level, file_bytes), "file string, n_records long")
     return scratch.saved(sent, "archives")
 

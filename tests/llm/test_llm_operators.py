@@ -16,7 +16,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, components, decontaminate, near_dup, packing, pii, quality_rules, rans, rqda, suffix_dedup, textnp, tokens, warc
+from lodestone.llm import chat, components, decontaminate, near_dup, packing, pii, quality_rules, rans, rqda, scratch, suffix_dedup, textnp, tokens, warc
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -347,16 +347,15 @@ def test_near_duplicates(spark, docs, rows, empty, n):
     assert near_dup.classes(empty, n).count() == 0
 
 
-def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
+def test_near_duplicates_in_a_dense_region(spark):
     rng = random.Random(11)
     base = [f"w{i}" for i in range(200)]
     star = [(i, " ".join(f"x{i}q{j}" if rng.random() < 0.045 else w for j, w in enumerate(base)), "", "", 0) for i in range(1, 60)]
     rows = [(99, " ".join(base), "", "", 0), *star]
-    monkeypatch.setattr(near_dup, "REGION", 16)
-    assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2).collect()} == exact_classes(rows, 2, 80)
+    assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2, most=16).collect()} == exact_classes(rows, 2, 80)
 
 
-def test_near_duplicates_across_the_parts_of_a_region(spark, monkeypatch):
+def test_near_duplicates_across_the_parts_of_a_region(spark):
     rng = random.Random(12)
     base = [f"w{i}" for i in range(200)]
     rows = []
@@ -366,8 +365,7 @@ def test_near_duplicates_across_the_parts_of_a_region(spark, monkeypatch):
         for k, j in enumerate(sorted(rng.sample(range(4, 196, 2), 11))):
             twin[j] = f"y{i}q{k}"
         rows += [(2 * i, " ".join(own), "", "", 0), (2 * i + 1, " ".join(twin), "", "", 0)]
-    monkeypatch.setattr(near_dup, "REGION", 4)
-    assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2).collect()} == exact_classes(rows, 2, 80)
+    assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2, most=4).collect()} == exact_classes(rows, 2, 80)
 
 
 def test_components(spark):
@@ -554,3 +552,62 @@ def test_chat_without_a_key(spark):
     rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (1, 0, "user", "d")]
     got = chat.digest(chat.apply(chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()
     assert {(r.conv_id, r.n_turns, r.loss_chars) for r in got} == {(None, 3, 1), (1, 1, 0)} and len(got) == 2
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    """Each operator that names rows by an id: what it makes of a null one."""
+    texts = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta gamma delta epsilon zeta", None]
+    df = spark.createDataFrame([(None, texts[0], "", "a", 0), (7, texts[1], "", "a", 0), (None, texts[2], "", None, 0), (3, None, "", "a", 0)], DOCS)
+    ids = lambda t, end: len(tokens.words(VOCAB).tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    files = rans.read(rans.write(df, VOCAB, file_ids=5)).collect()
+    assert [r.doc_id for r in sorted(files, key=lambda r: r.start)] == [None, None, 3, 7] and sum(r.n_tokens for r in files) == sum(ids(t, 2) for t in texts)
+    near = near_dup.classes(df, 2).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in near), key=str) == [(3, 3, True), (7, 7, True), (None, None, True), (None, None, True)]
+    assert sum(r.length for r in packing.pack(df, VOCAB).collect()) == sum(ids(t, 1) for t in texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.held_out) for r in rqda.apply(df, labels).collect()} >= {(None, True)}
+    assert sorted(quality_rules.apply(df).select("doc_id").toPandas().doc_id.isna()) == [False, False, True, True]
+    big = "<p>" + "x" * 2000
+    pages = spark.createDataFrame([(None, "u", big), (None, "v", "z"), (4, "w", big)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(warc.write(pages)).collect()), key=str)
+    assert got == [(4, "response", None, 2003), (None, "response", None, 1), (None, "revisit", 4, 2003)]
+    assert decontaminate.scan(df, spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")).where("size(items) = 1").count() == 3
+
+
+def test_decontamination_keeps_a_column_named_row(spark, docs):
+    bench = spark.createDataFrame([(i, f"alpha beta {i} " * 20) for i in range(9)], "item_id long, text string")
+    for size in (1 << 20, 300):
+        got = decontaminate.clean(decontaminate.scan(docs.withColumn("row", F.lit("mine")), bench, block_bytes=size))
+        assert got.columns == [*docs.columns, "row"] and {r.row for r in got.select("row").distinct().collect()} == {"mine"}
+
+
+def test_scopes_leave_each_other_alone(spark, docs):
+    one, two = scratch.Scope(spark), scratch.Scope(spark)
+    with one.entered():
+        a = near_dup.classes(docs, 2)
+    with two.entered():
+        b = near_dup.classes(docs, 5)
+    two.close()
+    assert a.count() == docs.count() and one.paths and not two.paths
+    one.close()
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND"):
+        a.count()
+    del b
+
+
+def test_scores_against_a_plain_discriminant():
+    """The densities by matrix inverse and determinant, one row at a time; one class alone gives its share."""
+    rng = np.random.default_rng(5)
+    p = len(rqda.NAMES)
+    x = [rng.normal(size=(50, p)) @ rng.normal(size=(p, p)), rng.normal(size=(30, p)) + 1]
+    sums = np.array([np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()]) for v in x])
+    model = rqda.Model(sums, 0.1, 2.0)
+    cov = [np.cov(v.T, bias=True) for v in x]
+    pooled = np.diag(sum(len(v) * np.diag(c) for v, c in zip(x, cov, strict=True)) / 80) + 1e-6 * np.eye(p)
+    for row in np.concatenate([v[:5] for v in x]):
+        log = [-0.5 * ((row - v.mean(0)) @ np.linalg.inv(s) @ (row - v.mean(0)) + np.log(np.linalg.det(s))) for v, c in zip(x, cov, strict=True) for s in [0.9 * c + 0.1 * pooled]]
+        assert np.isclose(model.score(row[None])[0], 1 / (1 + np.exp(-(log[1] - log[0] + np.log(31 / 51)) / 2)), rtol=1e-6)
+    sums[0] = 0
+    assert np.isclose(rqda.Model(sums, 0.1, 2.0).score(x[0]), 31 / 32).all()
+    sums[:] = 0
+    assert (rqda.Model(sums, 0.1, 2.0).score(x[0]) == 0.5).all()
