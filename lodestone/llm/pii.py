@@ -234,12 +234,14 @@ def mapping(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     known = entities.groupBy("kind", "entity").agg(F.sum("gender").alias("g"))
     # without an honorific to tell, names in -a count as female
     female = (F.col("g") > 0) | ((F.col("g") == 0) & F.col("entity").rlike("[aаяñ]$"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo = scratch.saved(known.select("kind", "entity", domain, F.when(female, "f").otherwise("m").alias("gender")), "entities")
     form = F.when(F.col("domain") == "name", F.initcap("entity")).otherwise(F.col("entity"))
     taken = todo.select("domain", form.alias("new")).distinct()
     done: DataFrame | None = None
     for attempt in range(rounds):
-        drawn = todo.withColumn("new", surrogate(key, F.col("kind"), F.col("entity"), F.col("gender"), F.lit(attempt)))
+        # few bytes but much work: as many tasks as there are partitions, not as few as the bytes would fill
+        drawn = todo.repartition(parts, "entity").withColumn("new", surrogate(key, F.col("kind"), F.col("entity"), F.col("gender"), F.lit(attempt)))
         order = Window.partitionBy("domain", "new").orderBy("entity", "kind")
         drawn = drawn.join(taken.withColumn("real", F.lit(True)), ["domain", "new"], "left").withColumn("clash", F.coalesce("real", F.lit(False)) | (F.row_number().over(order) > 1))
         drawn = scratch.saved(drawn.select("kind", "entity", "domain", "gender", "new", "clash"), "drawn")
@@ -264,7 +266,8 @@ def apply(docs: DataFrame, key: str = "surrogate-key-1", text: str = "text", doc
     kept = docs.select(*columns)
     given = kept.where(_gate(F.col(text)))
     found = detect(given.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text")), "__text")
-    rows = found.select("__id", "__hash", "__words", F.posexplode("__found").alias("pos", "x")).select("__id", "__hash", "__words", "pos", "x.*")
+    # outer, and filtered behind: else the optimizer infers a filter that detects all over again
+    rows = found.select("__id", "__hash", "__words", F.posexplode_outer("__found").alias("pos", "x")).where("pos is not null").select("__id", "__hash", "__words", "pos", "x.*")
     rows = scratch.saved(rows.dropDuplicates(["__id", "__hash", "pos"]), "occurrences")
     named = mapping(rows.select("kind", "entity", "gender"), key)
     placed = skew.lookup(rows, named, ["kind", "entity"], F.struct("__id", "pos"))
