@@ -113,6 +113,13 @@ def noisy(c: Column, sigma: float, seed: int) -> Column:
     return clip(c + sigma * F.randn(seed))
 
 
+def labelled(text: Column, label: str, *following: str) -> Column:
+    """The text behind "label:" up to a line that begins with one of the following labels, or to the end; null if there is none."""
+    stop = "|".join(rf"\n\s*{x}\s*:" for x in following)
+    found = F.regexp_extract(text, rf"(?s){label}\s*:\s*(.*?)(?={stop + '|' if stop else ''}\s*$)", 1)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
 def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 

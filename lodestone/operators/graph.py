@@ -92,7 +92,7 @@ def bfs(edges: DataFrame, source: int, rounds: int = 1000) -> DataFrame:
         if new.isEmpty():
             return seen
         seen = saved(seen.unionByName(new), "seen")
-    return seen
+    raise RuntimeError(f"nodes are more than {rounds - 1} steps away")
 
 
 def distances(edges: DataFrame, source: int, weight: str = "weight", rounds: int = 1000) -> DataFrame:
@@ -115,7 +115,9 @@ def path_to(found: DataFrame, target: int, most: int = 10_000) -> tuple[list[int
     if end is None:
         return None, math.inf
     path, at = [target], end.prev
-    while at is not None and len(path) < most:
+    while at is not None:
+        if len(path) >= most:
+            raise RuntimeError(f"the path has more than {most} nodes")
         path.append(at)
         at = found.where(F.col("node") == at).first().prev
     return path[::-1], end.dist
@@ -151,11 +153,11 @@ def community_report(edges: DataFrame, members: DataFrame, ranks: DataFrame) ->
     return g.join(inner, "comp", "left").select("comp", "size", F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"), F.when(n > 1, 2 * F.coalesce("internal_edges", F.lit(0)) / (n * (n - 1))).otherwise(0.0).alias("density"), "influencer")
 
 
-def closeness(edges: DataFrame, sources: list[int]) -> DataFrame:
-    """(node, closeness) of the given nodes within what each reaches, by one breadth-first search from all at once."""
-    spark = edges.sparkSession
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, closeness) of the nodes of sources (node) within what each reaches, by one breadth-first search from all at once.
+    It holds a row for each source and node that it reaches: for all nodes of a small graph, or some of a large one."""
     links = saved(both(edges.select("src", "dst")), "links")
-    seen = saved(spark.createDataFrame([(s, s, 0) for s in sources], "origin long, node long, level int"), "seen")
+    seen = saved(sources.select(F.col("node").alias("origin"), "node", F.lit(0).alias("level")).distinct(), "seen")
     level = 0
     while True:
         level += 1
@@ -188,7 +190,10 @@ def _adjacent(edges: DataFrame, weight: str | None = None, directed: bool = Fals
 def a_star(edges: DataFrame, nodes: DataFrame, source: int, target: int, weight: str = "length", speed: float = 1.0) -> tuple[list[int] | None, float, int]:
     """(path, cost, explored). The heuristic is the great-circle distance in metres over `speed`, so it stays below travel times for speed >= the fastest edge."""
     near = _adjacent(edges, weight, directed=True)
-    place = {r.id: (math.radians(r.y), math.radians(r.x)) for r in nodes.select("id", "x", "y").collect()}
+    places = nodes.select("id", "x", "y").limit(SMALL + 1).collect()
+    if len(places) > SMALL:
+        raise ValueError(f"more than {SMALL} nodes: this algorithm is for small graphs")
+    place = {r.id: (math.radians(r.y), math.radians(r.x)) for r in places}
 
     def guess(v: int) -> float:
         (a, b), (c, d) = place[v], place[target]

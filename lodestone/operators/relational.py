@@ -143,6 +143,16 @@ def stratified(df: DataFrame, key: str, stratum: str, share: float, seed: int =
     return df.withColumn("split", F.when(F.percent_rank().over(w) < share, "train").otherwise("test"))
 
 
+def features_target(df: DataFrame) -> tuple[list[str], str]:
+    """All columns but the last, and the last."""
+    return df.columns[:-1], df.columns[-1]
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """n_rows, n_columns."""
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+
+
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
     return df.unpivot(list(ids), list(values), name, value)
 

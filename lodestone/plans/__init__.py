@@ -1,3 +1,3 @@
 """Registered queries by family; importing a family registers it."""
 
-from . import documents, graphs, indexes, survey, tables  # noqa: F401
+from . import documents, graphs, indexes, survey, tables, workflows  # noqa: F401

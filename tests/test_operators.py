@@ -142,3 +142,67 @@ def test_sources(spark, tmp_path):
     assert io.barabasi_albert(spark, 50, 3).count() == 141
     listing = spark.createDataFrame([("l", i, n) for i, n in enumerate([5, 0, 3, 0, 0, 9])], "listing string, page int, n_found int")
     assert sorted(r.page for r in io.pages_until(listing).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_multi_objective_weights(spark):
+    rows = [(i, i + 1, 1000.0 * i, 60.0 * i, "motorway" if i % 2 else "street") for i in range(20)]
+    got = G.multi_objective(spark.createDataFrame(rows, "src long, dst long, length double, travel_time double, highway string"), 1, 2, 3).collect()
+    assert all(r.weight == pytest.approx(r.src + 2 * r.src + 3 * r.toll) and (1 <= r.toll <= 5) == (r.src % 2 == 1) for r in got)
+    assert len({r.toll for r in got}) > 5
+
+
+def test_detrended_residuals_are_those_of_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 200))
+    z = 1 + 2 * x - y + 0.5 * x * y + rng.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, z, strict=True))], "id long, x double, y double, z double")
+    for order, terms in ((1, [np.ones(200), x, y]), (2, [np.ones(200), x, y, x * x, y * y, x * y])):
+        a = np.column_stack(terms)
+        want = z - a @ np.linalg.lstsq(a, z, rcond=None)[0]
+        assert np.allclose([r.r for r in geo.detrend(df, order).orderBy("id").collect()], want, atol=1e-8)
+
+
+def test_stata_files_and_image_folders(spark, tmp_path):
+    import pandas as pd
+
+    pd.DataFrame({"nquest": [1, 2, 3], "eta": [30.0, None, 50.0]}).to_stata(tmp_path / "q.dta", write_index=False)
+    assert {(r.nquest, r.eta if r.eta == r.eta else None) for r in io.read_stata(spark, str(tmp_path / "q.dta")).collect()} == {(1, 30.0), (2, None), (3, 50.0)}
+    for label, head in (("rose", b"\xff\xd8\xff\xe0\x00\x10JFIF\x00"), ("tulip", b"\x89PNG\r\n\x1a\n")):
+        (tmp_path / "img" / label).mkdir(parents=True)
+        for i in range(4):
+            (tmp_path / "img" / label / f"{i}.jpg").write_bytes(head + bytes(i))
+    got = io.images(spark, str(tmp_path / "img"))
+    assert {r.label for r in got.where(io.is_jfif(F.col("content"))).collect()} == {"rose"} and got.count() == 8
+
+
+def test_forest_boosting_and_grid_search_learn(spark):
+    rng = random.Random(4)
+    rows = [(float(i % 2), rng.gauss(2.0 * (i % 2), 0.6), rng.gauss(0, 1), "ab"[i % 2] if rng.random() < 0.7 else "c") for i in range(400)]
+    df = spark.createDataFrame(rows, "label double, x double, y double, c string")
+    for kind, params in (("forest", {"numTrees": 10}), ("boosting", {"maxIter": 5}), ("network", {"layers": [2, 4, 2], "maxIter": 60})):
+        found = models.train(df, ["x", "y"], [] if kind == "network" else ["c"], kind, **params)
+        assert found.transform(df).where("label = prediction").count() > 360
+    _, best, every = models.grid_search(df, ["x", "y"], ["c"], "logistic", {"regParam": [0.0, 50.0]}, folds=3)
+    assert len(every) == 2 and dict(best) == max(every, key=lambda e: e[1])[0]
+
+
+def test_sampled_pairs_and_holdouts(spark):
+    got = G.sample_pairs(spark.range(1000), 30).collect()
+    assert len(got) == 30 and len({x for r in got for x in (r.origin, r.destination)}) == 60
+    assert G.sample_pairs(spark.range(1000), 30).collect() == got
+
+
+def test_graph_benchmark_reports_each_case(spark):
+    from lodestone.operators import benchmarks
+
+    got = benchmarks.graphs(spark, (30,), runs=1).collect()
+    assert [(r.algorithm, r.size) for r in got] == [("bfs", 30), ("distances", 30), ("spanning tree", 30)] and all(0 < r.min_time <= r.mean_time <= r.max_time for r in got)
+
+
+def test_paths_that_are_cut_are_errors(spark):
+    line = G.distances(edges(spark, [(i, i + 1, 1.0) for i in range(6)]), 0)
+    assert G.path_to(line, 6)[0] == list(range(7))
+    with pytest.raises(RuntimeError):
+        G.path_to(line, 6, most=3)
+    with pytest.raises(RuntimeError):
+        G.bfs(edges(spark, [(i, i + 1, 1.0) for i in range(6)]).select("src", "dst"), 0, rounds=3)
