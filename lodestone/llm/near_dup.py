@@ -9,9 +9,10 @@ order and read in pieces, so none is held by one task. Within a part the signatu
 (estimate above it less 4.5 standard deviations) are linked as a spanning forest by falling estimate and confirmed exactly. Members
 that confirmed links have not brought together come again, each with its 8, 64, ... best untried partners, until none is left. So pairs
 within a class cost no more than its links; but pairs of different classes whose estimate stays above the bound (similarities of 0.64 to
-0.8) are all confirmed, for nothing less tells them from links. Parts keep some pairs of a region of more than `most` nodes from ever
-being compared; so what those regions' members may still be linked with is found exactly, by joining them on the rarest shingles of each
-set (prefix filter) and confirming every pair of different classes.
+0.8) are all confirmed, for nothing less tells them from links. Regions of more than `most` nodes give a spanning forest only. What
+their members may still be linked with is found exactly: regions that share nodes are a family, its members are dealt to blocks by
+the size of their sets, and each two blocks of sizes that can reach the threshold are compared pair by pair, the intersections
+counted as a product of 0-1 matrices. Members of different families are joined on the rarest shingles of each set (prefix filter).
 
 Defined results: texts without words, null included, have an empty set and are linked with nothing; so are rows without a doc_id, which
 have no class (null) and are kept; fewer words than the shingle length are one shingle; rows that repeat a doc_id are one document's
@@ -38,6 +39,8 @@ HASHES = TREES * WIDTH
 REGION = 512
 #: Largest list of documents (8 bytes each) that may be broadcast to choose rows of the documents.
 BROADCAST_ROWS = 500_000
+#: Shingles of a block of a family's sets (8 bytes each), a set counting as LIGHT at least, and columns of a matrix at a time.
+BLOCK, LIGHT, COLUMNS = 1 << 19, 256, 2048
 _rng = np.random.default_rng(6)
 FACTORS = _rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 1 << 63, HASHES, np.uint64)
@@ -265,8 +268,80 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch.saved(both.select("a", "b", (100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).alias("near")), "judged")
 
 
-def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int, most: int) -> DataFrame:
-    """All pairs (a, b) of different classes that may reach the threshold.
+def _families(wide: DataFrame) -> DataFrame:
+    """(node, family) of the nodes of wide regions (key, node); regions that share a node are of one family."""
+    hubs = wide.groupBy("key").agg(F.min("node").alias("b"))
+    return components(skew.lookup(wide, hubs, ["key"], F.col("node")).select(F.col("node").alias("a"), "b")).withColumnRenamed("comp", "family")
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes, classes, set sizes, and row and shingle of each entry."""
+    lists = pa.concat_arrays(table.column("shingles").chunks)
+    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return table.column("node").to_numpy(), table.column("comp").to_numpy(), counts, np.repeat(np.arange(len(counts)), counts), lists.flatten().to_numpy()
+
+
+def _intersections(shape: tuple[int, int], rows_a: np.ndarray, a: np.ndarray, rows_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each set of one block shares with each of the other."""
+    out = np.zeros(shape, np.int64)
+    shared = np.intersect1d(a, b)
+    sides = []
+    for rows, keys in ((rows_a, a), (rows_b, b)):
+        at = np.searchsorted(shared, keys)
+        has = np.flatnonzero(at < len(shared))
+        has = has[shared[at[has]] == keys[has]]
+        has = has[np.argsort(at[has], kind="stable")]
+        sides.append((rows[has], at[has]))
+    for begin in range(0, len(shared), COLUMNS):
+        pair = []
+        for height, (rows, at) in zip(shape, sides, strict=True):
+            lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+            dense = np.zeros((height, min(COLUMNS, len(shared) - begin)), np.float32)
+            dense[rows[lo:hi], at[lo:hi] - begin] = 1
+            pair.append(dense)
+        out += np.rint(pair[0] @ pair[1].T).astype(np.int64)
+    return out
+
+
+def _compared(percent: int):
+    """Of two blocks: a pair at the threshold for each two classes that have one."""
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        (a, ca, na, ra, ka), (b, cb, nb, rb, kb) = _matrix(one), _matrix(two)
+        inter = _intersections((len(a), len(b)), ra, ka, rb, kb)
+        i, j = np.nonzero((100 * inter >= percent * (na[:, None] + nb[None, :] - inter)) & (ca[:, None] != cb[None, :]))
+        lo, hi = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
+        by = np.lexsort((hi, lo))
+        new = np.ones(len(by), bool)
+        new[1:] = (lo[by[1:]] != lo[by[:-1]]) | (hi[by[1:]] != hi[by[:-1]])
+        x, y = a[i[by[new]]], b[j[by[new]]]
+        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    return run
+
+
+def _family_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the classes within each family (node, comp, family): at least one for each two classes that have any."""
+    sized = sets.select("node", F.size("shingles").cast("long").alias("n")).join(members, "node").withColumn("load", F.greatest("n", F.lit(LIGHT).cast("long")))
+    placed = skew.running_sum(sized, ["family"], ["n", "node"], "load", "before", "placed").select("node", "n", "comp", "family", F.expr(f"before div {BLOCK}").alias("block"))
+    placed = scratch.saved(placed, "placed")
+    spans = placed.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("least"), F.max("comp").alias("last"))
+    one, two = (spans.select("family", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi", "least", "last"))) for side in "ij")
+    # blocks hold sets of rising size
+    pairs = one.join(two, "family").where(f"block_i <= block_j and 100 * hi_i >= {percent} * lo_j and not (least_i = last_i and least_j = last_j and least_i = least_j)")
+    pairs = scratch.saved(pairs.select("family", "block_i", "block_j"), "blocks")
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    full = scratch.saved(placed.select("node", "comp", "family", "block").join(sets, "node"), "full")
+    sides = []
+    for side in "ij":
+        rows = full.withColumnRenamed("block", f"block_{side}").join(F.broadcast(pairs) if few else pairs, ["family", f"block_{side}"])
+        # columns of their own, for both sides are of one table
+        sides.append(rows.select(*(F.col(c).alias(c) for c in ("family", "block_i", "block_j", "node", "comp", "shingles"))).groupBy("family", "block_i", "block_j"))
+    return scratch.saved(sides[0].cogroup(sides[1]).applyInArrow(_compared(percent), "a long, b long"), "found")
+
+
+def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int, most: int) -> DataFrame:
+    """All pairs (a, b) of different classes and families that may reach the threshold.
 
     Sets of x and y shingles at the threshold share percent % of the larger one at least, so, with all shingles in one order, they share
     one of the first x - ceil(percent % of x) + 1 and y - ceil(percent % of y) + 1. The order is the rarest first.
@@ -275,13 +350,15 @@ def _prefix_pairs(sets: DataFrame, comps: DataFrame, percent: int, most: int) ->
     counts = scratch.saved(items.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     ranked = skew.lookup(items, counts, ["g"], F.col("node")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "g"))).alias("gs"))
     first = F.slice("gs", F.lit(1), F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)"))
-    posts = ranked.select("node", "n", F.explode(first).alias("x")).select("node", "n", "x.g", "x.c").where("c > 1").join(comps, "node")
+    posts = ranked.select("node", "n", F.explode(first).alias("x")).select("node", "n", "x.g", "x.c").where("c > 1").join(members, "node")
     posts = scratch.saved(posts, "posts")
+    across = posts.groupBy("g").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("g", F.lit(True).alias("across"))
+    posts = scratch.saved(skew.lookup(posts, across, ["g"], F.col("node")).where("across").drop("across"), "posts")
     # lists of more than `most` nodes are spread over tasks
     last = F.when(F.col("c") > most, F.lit(skew.SALTS - 1)).otherwise(F.lit(0))
-    one = posts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "g", F.pmod(F.xxhash64("node"), last + 1).cast("int").alias("salt"))
-    two = posts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "g", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
-    joined = one.join(two.hint("merge"), ["g", "salt"]).where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    one = posts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("family").alias("fa"), "g", F.pmod(F.xxhash64("node"), last + 1).cast("int").alias("salt"))
+    two = posts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("family").alias("fb"), "g", F.explode(F.sequence(F.lit(0), last)).alias("salt"))
+    joined = one.join(two.hint("merge"), ["g", "salt"]).where("a < b and ca <> cb and fa <> fb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return joined.select("a", "b").distinct()
 
 
@@ -334,12 +411,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     while True:
         found = []
         for table, large in ((crowded, False), (wide, True)):
-            if large and not any_wide:
+            if large and (quota or not any_wide):  # what their spanning forests leave open is told by blocks
                 continue
             if labels is not None:
-                rows = (skew.lookup(table, labels, ["node"], F.col("key")) if large else table.join(labels, "node", "left")).withColumn("comp", F.coalesce("comp", "node"))
-                mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", F.lit(True).alias("mixed"))
-                rows = (skew.lookup(rows, mixed, ["key"], F.col("node")) if large else rows.join(mixed, "key")).where("mixed")
+                rows = table.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+                rows = rows.join(mixed, "key", "left_semi")
             else:
                 rows = table.withColumn("comp", F.col("node"))
             rows = rows.join(signs, "node").select("key", "tree", "node", "comp", "sig", "next")
@@ -370,14 +447,18 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
             wide = wide.withColumn("comp", F.lit(None).cast("long"))
         wide = scratch.saved(wide.withColumn("comp", F.coalesce("comp", "node")), "wide")
         mixed = wide.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        comps = scratch.saved(wide.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "members")
-        sets = _full_sets(given, comps.select("node"), n)
-        pairs = _prefix_pairs(sets, comps, percent, most)
-        new = scratch.saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "new")
-        near = _confirmed(new, sets, percent).where("near").select("a", "b")
-        if not near.isEmpty():
-            linked = near if linked is None else linked.unionByName(near)
-            labels = components(linked)
+        wide = scratch.saved(wide.join(mixed, "key", "left_semi").select("key", "node", "comp"), "wide")
+        if not wide.isEmpty():
+            members = scratch.saved(wide.select("node", "comp").distinct().join(_families(wide), "node"), "members")
+            sets = _full_sets(given, members.select("node"), n)
+            near = _family_links(sets, members, percent)
+            if members.select("family").distinct().limit(2).count() > 1:
+                pairs = _prefix_pairs(sets, members, percent, most)
+                new = scratch.saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "new")
+                near = near.unionByName(_confirmed(new, sets, percent).where("near").select("a", "b"))
+            if not near.isEmpty():
+                linked = near if linked is None else linked.unionByName(near)
+                labels = components(linked)
         scratch.tidy(spark)
     out = known.drop("sig")
     if labels is not None:

@@ -368,6 +368,22 @@ def test_near_duplicates_across_the_parts_of_a_region(spark):
     assert {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2, most=4).collect()} == exact_classes(rows, 2, 80)
 
 
+def test_near_duplicates_of_a_family_in_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = []
+    for f in range(2):  # two templates, whose texts are mostly at 0.65 to 0.8, some over it
+        base = [f"w{f}q{i}" for i in range(200)]
+        rows += [(2 * i + f, " ".join(f"x{i}q{j}" if rng.random() < rng.choice([0.02, 0.07]) else w for j, w in enumerate(base)), "", "", 0) for i in range(120)]
+    asked = []
+    plain = near_dup._confirmed
+    monkeypatch.setattr(near_dup, "_confirmed", lambda pairs, *more: asked.append(pairs.count()) or plain(pairs, *more))
+    monkeypatch.setattr(near_dup, "BLOCK", 5000)
+    monkeypatch.setattr(near_dup, "COLUMNS", 100)
+    got = {r[0]: tuple(r[1:]) for r in near_dup.classes(spark.createDataFrame(rows, DOCS), 2, most=16).collect()}
+    assert got == exact_classes(rows, 2, 80)
+    assert 100 < len({r[1] for r in got.values()}) < 240 and sum(asked) < 4000, asked  # 120 * 119 pairs within the templates
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 7)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
