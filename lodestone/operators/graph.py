@@ -123,10 +123,10 @@ def path_to(found: DataFrame, target: int, most: int = 10_000) -> tuple[list[int
     return path[::-1], end.dist
 
 
-def multi_objective(edges: DataFrame, wl: float = 1.0, wt: float = 1.0, wc: float = 1.0, seed: int = 42) -> DataFrame:
-    """Weight = wl km + wt minutes + wc tolls; tolls of 1 to 5 on motorways and trunks, fixed by hash."""
+def multi_objective(edges: DataFrame, wl: float = 1.0, wt: float = 1.0, wc: float = 1.0, seed: int = 42, per_minute: float = 60.0) -> DataFrame:
+    """Weight = wl km + wt minutes (of `per_minute` units of travel_time) + wc tolls; tolls of 1 to 5 on motorways and trunks, fixed by hash."""
     toll = F.when(F.col("highway").isin("motorway", "trunk"), 1 + 4 * F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1000)) / 1000).otherwise(0.0)
-    return edges.withColumn("toll", toll).withColumn("weight", wl * F.col("length") / 1000 + wt * F.col("travel_time") / 60 + wc * F.col("toll"))
+    return edges.withColumn("toll", toll).withColumn("weight", wl * F.col("length") / 1000 + wt * F.col("travel_time") / per_minute + wc * F.col("toll"))
 
 
 def path_cost(paths: DataFrame, edges: DataFrame, weight: str = "weight") -> DataFrame:

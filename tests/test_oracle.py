@@ -26,6 +26,16 @@ def norm(v):
     return str([norm(x) for x in v]) if isinstance(v, list | tuple) else str(v)
 
 
+def test_multi_objective_weights_to_the_last_digit(spark):
+    at = "/root/testdata/sf0.01"
+    if not os.path.isdir(at):
+        pytest.skip("no tables here")
+    with duckdb.connect() as c:
+        c.execute(f"create view orders as select * from '{at}/orders.parquet'")
+        want = sorted(c.sql(registry.ORACLE["gra15_multi_objective"]).fetchall())
+    assert sorted(tuple(r) for r in registry.QUERIES["gra15_multi_objective"](spark, at).collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_rows(spark, con, name):
     if not os.path.isdir(SF):
