@@ -15,7 +15,7 @@ A byte is removed if a string of LENGTH bytes that covers it also starts earlier
    tasks by the strings' hashes and sorted there; so no anchor is held by one task. The results are the same.
 4. Removed runs are joined with their documents and cut out.
 
-Texts of more than CHUNK bytes are read in chunks that overlap by LENGTH - 1 bytes.
+Texts of more than PIECE bytes are read in chunks that overlap by LENGTH - 1 bytes.
 
 Defined results: null text counts as empty; null doc_id comes before all others and stays null; texts shorter than LENGTH bytes lose
 nothing; rows that repeat doc_id and text are one document and get equal results; rows that repeat a doc_id with other texts are ordered
@@ -36,6 +36,8 @@ from . import scratch, skew, textnp
 
 ANCHOR = 32
 CHUNK = 3 << 20
+#: Bytes of a slice whose places are hashed at a time (about 100 bytes of memory each).
+PIECE = 1 << 19
 #: Distinct stretches of one anchor beyond which its strings are dealt over tasks.
 MOST = 2000
 #: Largest number of such anchors that may be broadcast (8 bytes each).
@@ -133,11 +135,12 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0)
 def _chunks(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Bytes, row offsets and the place of the first byte in its row; a single large row comes in overlapping chunks."""
     data, offsets = textnp.utf8(part.column("text"))
-    if part.num_rows > 1 or len(data) <= CHUNK:
+    most = min(CHUNK, PIECE)
+    if part.num_rows > 1 or len(data) <= most:
         yield data, offsets, 0
         return
-    for at in range(0, len(data) - length + 1, CHUNK):
-        piece = data[at : at + CHUNK + length - 1]
+    for at in range(0, len(data) - length + 1, most):
+        piece = data[at : at + most + length - 1]
         yield piece, np.array([0, len(piece)]), at
 
 
@@ -152,11 +155,18 @@ def _stretcher(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textnp.slices(batch, "text", CHUNK):
-                for data, offsets, place in _chunks(part, length):
-                    s = stretches(data, offsets, length, seed)
-                    doc, same = (part.column(c).to_numpy(zero_copy_only=False)[s["row"]] for c in ("doc", "same"))
-                    start, shape = (s["start"] + place).astype(np.int32), (s["n"] * 256 + s["place"]).astype(np.int32)
-                    yield from _settled(s["anchor"], s["bytes"], doc, same, start, shape)
+                found = []
+                for piece in textnp.slices(part, "text", PIECE):
+                    for data, offsets, place in _chunks(piece, length):
+                        s = stretches(data, offsets, length, seed)
+                        doc, same = (piece.column(c).to_numpy(zero_copy_only=False)[s["row"]] for c in ("doc", "same"))
+                        start, shape = (s["start"] + place).astype(np.int32), (s["n"] * 256 + s["place"]).astype(np.int32)
+                        found.append((s["anchor"], s["bytes"], doc, same, start, shape))
+                        if sum(len(x[0]) for x in found) >= CHUNK // 8:  # of a single large text
+                            yield from _settled(*map(np.concatenate, zip(*found, strict=True)))
+                            found = []
+                if found:
+                    yield from _settled(*map(np.concatenate, zip(*found, strict=True)))
 
     return run
 

@@ -282,6 +282,22 @@ def test_very_long_text_in_bounded_memory(spark):
     assert int(done.stdout) < 1000
 
 
+def test_slices_of_short_texts_in_little_memory():
+    code = """if True:
+        import resource, numpy as np, pyarrow as pa
+        from lodestone.llm import suffix_dedup
+        raw = np.random.default_rng(1).integers(97, 123, 12 << 20).astype(np.uint8).tobytes().decode()
+        texts = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+        batch = pa.RecordBatch.from_pydict({"text": texts, "doc": np.arange(len(texts)), "same": np.zeros(len(texts), np.int64)})
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        assert sum(x.num_rows for x in suffix_dedup._stretcher(100, 0)(iter([batch]))) > 200_000
+        print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before >> 10)
+    """
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(Path(__file__).resolve().parents[2]))
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 300
+
+
 def test_rans_blocks_and_files(spark, docs, rows, empty):
     rng = np.random.default_rng(4)
     for n in (1, 511, 512, 513, 100_000):
