@@ -1,8 +1,9 @@
 """Token ids of whole texts, by the tokenizers library, with the ids of repeated words kept.
 
 The vocabulary's splitting pattern never joins text across a single blank that stands between two non-blanks, so such a text is
-encoded as its blank-led pieces; each distinct piece is encoded once and kept for later batches. Texts with other white space next
-to a blank are encoded whole. Either way the ids are those of Tokenizer.encode(text, add_special_tokens=False). A kept piece is found
+encoded as its blank-led pieces, parted again at line ends between other characters and at punctuation behind ASCII letters (unless
+a special token holds it), where a token ends as well; each distinct piece is encoded once and kept for later batches. Texts with
+other white space next to a blank are encoded whole. Either way the ids are those of Tokenizer.encode(text, add_special_tokens=False). A kept piece is found
 by its hash and compared on its bytes; a piece whose hash another one has is encoded by itself.
 """
 
@@ -40,6 +41,9 @@ def _odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return odd
 
 
+#: Bytes of ASCII letters, and of ASCII other than white space and controls.
+_LETTER, _INK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _INK[0x21:0x7F] = True
 #: ASCII punctuation without the apostrophe, which may begin a contraction, and "<" and "|>", which may belong to a special token.
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
@@ -52,6 +56,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+_CODES = np.array([ord(BYTE_LETTERS[b]) for b in range(256)], "<u2")
 
 
 class Words:
@@ -65,6 +70,9 @@ class Words:
         self.merge = self.tokenizer.model.tokenize
         self.line = [t.id for t in self.merge("\u010a")]
         self.tails: dict[str, list[int]] = {}
+        self.marks = np.zeros(256, bool)  # punctuation that is in no special token
+        self.marks[list(PUNCTUATION.encode())] = True
+        self.marks[list("".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()).encode())] = False
         self.clear()
 
     def clear(self) -> None:
@@ -80,6 +88,14 @@ class Words:
         self.size = np.zeros(1 << 16, np.int64)
         self.filled = 0
 
+    def _begins(self, data: np.ndarray) -> np.ndarray:
+        """Where a piece begins: at each blank, at a line end between two other characters, and at punctuation behind an ASCII letter."""
+        begins = data == 0x20
+        line = np.flatnonzero(data[1:-1] == 0x0A) + 1
+        begins[line[_INK[data[line - 1]] & (_INK[data[line + 1]] | (data[line + 1] >= 0x80) & ~_RARE[data[line + 1]])]] = True
+        begins[1:] |= self.marks[data[1:]] & _LETTER[data[:-1]]
+        return begins
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The numbers of known pieces, -1 for others."""
         mask = np.uint64(len(self.keys) - 1)
@@ -134,11 +150,27 @@ class Words:
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
 
+    def _ids_of(self, pieces: list[bytes], joined: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_ids of pieces that are joined; those of ASCII letters after at most one blank are cut out as the model's letters."""
+        at = np.concatenate([[0], np.cumsum(size)])
+        letters = np.diff(np.concatenate([[0], np.cumsum(_LETTER[joined])])[at])
+        plain = (letters == size) | (letters > 0) & (letters == size - 1) & (joined[at[:-1]] == 0x20)
+        written, merge = _CODES[joined].tobytes().decode("utf-16-le"), self.merge
+        encoded: list[list[int]] = [[t.id for t in merge(written[a:b])] if p else [] for a, b, p in zip(at[:-1].tolist(), at[1:].tolist(), plain.tolist(), strict=True)]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        rest = np.flatnonzero(~plain)
+        more, lengths[rest] = self._ids([pieces[i].decode() for i in rest.tolist()])
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        mine = np.repeat(plain, lengths)
+        flat[mine] = np.fromiter(chain.from_iterable(encoded), np.uint32, int(mine.sum()))
+        flat[~mine] = more
+        return flat, lengths
+
     def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
-        pieces = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        flat, lengths = self._ids(pieces)
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         n, size = self.known, ends - starts
-        joined = np.frombuffer(b"".join(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint8)
+        joined = np.frombuffer(b"".join(pieces), np.uint8)
+        flat, lengths = self._ids_of(pieces, joined, size)
         while n + len(pieces) > len(self.start):
             self.start, self.length, self.place, self.size = (np.resize(x, 2 * len(x)) for x in (self.start, self.length, self.place, self.size))
         while self.filled + len(joined) > len(self.pool):
@@ -162,12 +194,12 @@ class Words:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         if self.known > MOST // 2 or self.used > MOST_IDS or self.filled > MOST_BYTES:
             self.clear()
-        row_start = offsets[:-1][offsets[:-1] < offsets[1:]]
         whole = _odd_rows(data, offsets)
-        blank = np.flatnonzero(data == 0x20)
-        if whole.any():
-            blank = blank[~whole[np.searchsorted(offsets, blank, "right") - 1]]
-        starts = np.union1d(row_start, blank)
+        begins = self._begins(data)  # marked and read off in order, without sorting
+        for r in np.flatnonzero(whole).tolist():
+            begins[offsets[r] : offsets[r + 1]] = False
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
         hashes = textnp.word_hashes(data, starts, ends)
         hashes += (hashes == 0).astype(np.uint64)

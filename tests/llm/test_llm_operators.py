@@ -65,6 +65,20 @@ def test_tokens_are_those_of_the_library(rows):
         assert [f.tolist() for f in flat] == [e.ids for e in store.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_tokens_of_words_with_marks_behind():
+    store, rng = tokens.Words(VOCAB), random.Random(4)
+    signs = [*"aZé ñ\n\n\t.,'s!?_<|>#0", "\u00a0", "\u3000", "\u0301", "<|endoftext|>", "end", " the", "'ll", "\r", "\x85", "\U0001f600", "中"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 24))) for _ in range(4000)]
+    for some in (texts[:2000], texts[2000:], texts):
+        ids, lengths = store.encode(some)
+        flat = np.split(ids, np.cumsum(lengths)[:-1])
+        assert [f.tolist() for f in flat] == [e.ids for e in store.tokenizer.encode_batch(some, add_special_tokens=False)]
+    store.clear()
+    names = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(300)]
+    store.encode([" ".join(n + m for n in names) + f"\n{names[0]}" for m in ("", ",", ".", ";", "!", "?", "&&&")])
+    assert store.known < 2 * len(names)  # a word and the marks behind it are kept apart
+
+
 def twisted():
     """Strings that cancel out in prefix sums modulo a power of two, and their complements."""
     out = []
