@@ -41,6 +41,8 @@ REGION = 512
 BROADCAST_ROWS = 500_000
 #: Shingles of a block of a family's sets (8 bytes each), a set counting as LIGHT at least, and columns of a matrix at a time.
 BLOCK, LIGHT, COLUMNS = 1 << 19, 256, 2048
+#: Shingles (8 bytes each) whose hashes are taken at a time.
+CACHED = 1 << 15
 _rng = np.random.default_rng(6)
 FACTORS = _rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(0, 1 << 63, HASHES, np.uint64)
@@ -63,13 +65,37 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             keys.append(textnp.gram_hashes(hashes, m)[first[short]])
             at.append(short)
     k, r = np.concatenate(keys), np.concatenate(at)
-    order = np.lexsort((k, r))
-    k, r = k[order], r[order]
+    if len(keys) > 1:
+        order = np.argsort(r, kind="stable")
+        k, r = k[order], r[order]
+    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])[: len(r)])
+    stop = np.append(edge[1:], len(r))[: len(edge)]
+    several = stop - edge > 1
+    for a, b in zip(edge[several].tolist(), stop[several].tolist(), strict=True):  # each set in place: no order over all of them
+        k[a:b].sort()
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
     return k[new], r[new]
 
 
+def signatures(keys: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The MinHash values of the sets that begin at `edge`. A few sets at a time, so that their keys stay in the processor's cache while
+    all hashes are taken; the smallest upper half is that of the smallest whole."""
+    out = np.empty((len(edge), HASHES), np.uint32)
+    stop = np.append(edge[1:], len(keys))
+    at = 0
+    while at < len(edge):
+        to = max(at + 1, int(np.searchsorted(stop, edge[at] + CACHED, "right")))
+        some, begin = keys[edge[at] : stop[to - 1]], edge[at:to] - edge[at]
+        work = np.empty_like(some)
+        for j in range(HASHES):
+            np.bitwise_xor(some, MASKS[j], out=work)
+            np.multiply(work, FACTORS[j], out=work)
+            out[at:to, j] = np.minimum.reduceat(work, begin) >> np.uint64(32)
+        at = to
+    return out
+
+
 def _signer(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +109,7 @@ def _signer(n: int):
                 if len(full):
                     one[full] = np.add.reduceat(keys, edge).view(np.int64)
                     two[full] = np.bitwise_xor.reduceat(textnp.mix(keys), edge).view(np.int64)
-                    for j in range(HASHES):
-                        signs[:, j] = np.minimum.reduceat(((keys ^ MASKS[j]) * FACTORS[j]) >> np.uint64(32), edge)
+                    signs[:] = signatures(keys, edge)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(one), pa.array(two), _rows(signs, counts > 0)],
                     ["doc_id", "n", "h1", "h2", "sig"],

@@ -113,6 +113,25 @@ def test_ids_of_twisted_strings_end_to_end(spark):
     assert {k: zlib.crc32(v) for k, v in whole.items()} == want(1)
 
 
+def test_signatures_take_a_few_sets_at_a_time(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "one", "two words", "a a a a", *(" ".join(rng.choice(WORDS) for _ in range(rng.choice([2, 5, 40, 300]))) for _ in range(60)), "one"]
+    for n in (2, 5):
+        keys, rows = near_dup.shingles(pa.array(texts), n)
+        for i, t in enumerate(texts):
+            w = low(t).split()
+            assert len(keys[rows == i]) == (len({tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))}) if w else 0)
+            assert (np.diff(keys[rows == i].astype(object)) > 0).all()
+        assert (np.diff(rows) >= 0).all() and set(keys[rows == 2]) == set(keys[rows == len(texts) - 1])
+        edge = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        want = np.stack([np.minimum.reduceat(((keys ^ m) * f) >> np.uint64(32), edge) for m, f in zip(near_dup.MASKS, near_dup.FACTORS, strict=True)], 1)
+        for most in (1, 50, 1 << 20):
+            monkeypatch.setattr(near_dup, "CACHED", most)
+            assert (near_dup.signatures(keys, edge) == want).all()
+    keys, rows = near_dup.shingles(pa.array([None, ""]), 2)
+    assert len(keys) == len(rows) == 0
+
+
 def test_packing(spark, docs, rows, empty):
     store = tokens.Words(VOCAB)
     got = packing.pack(docs, VOCAB, window=64, weights={"a": 0.5, "b": 0.5}).collect()
