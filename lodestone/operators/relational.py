@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -161,13 +162,45 @@ def spread(df: DataFrame, rows: str, columns: str, names: Sequence[object], valu
     return df.groupBy(rows).pivot(columns, list(names)).agg(F.first(value))
 
 
-def near_pairs(points: DataFrame, limit: float, id_: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """All pairs (a < b) of points at most `limit` apart with their distance d: an equi-join on grid cells of that size."""
-    cell = points.withColumn("cx", F.floor(F.col(x) / limit)).withColumn("cy", F.floor(F.col(y) / limit))
-    a = cell.select(*[F.col(c).alias(f"a_{c}") for c in points.columns], F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    b = cell.select(*[F.col(c).alias(f"b_{c}") for c in points.columns], "cx", "cy")
-    d = F.sqrt(F.pow(F.col(f"a_{x}") - F.col(f"b_{x}"), 2) + F.pow(F.col(f"a_{y}") - F.col(f"b_{y}"), 2))
-    return a.join(b, ["cx", "cy"]).where(F.col(f"a_{id_}") < F.col(f"b_{id_}")).withColumn("d", d).where(F.col("d") <= limit).drop("cx", "cy")
+#: Rows of a cell that are compared as one block, and pairs of rows compared by one task.
+BLOCK, TASK_PAIRS = 2000, 1 << 24
+
+
+def near_pairs(points: DataFrame, limit: float, id_: str = "id", x: str = "x", y: str = "y", digits: int | None = None) -> DataFrame:
+    """All pairs (a < b) of points at most `limit` apart with their distance d (rounded to `digits`, if given), by grid cells of that size.
+    A cell's rows are cut into blocks in the order of x and y; pairs of blocks are dealt over as many tasks as their pairs of rows ask for,
+    so no task grows with a cell. Distances are taken once for each pair of places."""
+    width = limit * (1 + 1e-9) if limit > 0 else 1.0  # the hair is for quotients that round
+    cell = lambda c: F.floor(F.greatest(F.least(F.col(c).cast("double") / width, F.lit(1e15)), F.lit(-1e15)))
+    finite = lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    rows = points.where(finite(x) & finite(y) & F.col(id_).isNotNull()).withColumns({"_cx": cell(x), "_cy": cell(y)})
+    after = F.array(*[F.struct((F.col("_cx") + i).alias("cx"), (F.col("_cy") + j).alias("cy")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    counts = rows.groupBy("_cx", "_cy").agg(F.count("*").alias("n"))
+    near = counts.select(F.col("n").alias("m"), F.inline(after)).join(counts.select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "n"), ["cx", "cy"])
+    tasks = max(1, math.ceil((near.agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0) / TASK_PAIRS))
+
+    others = [c for c in points.columns if c not in (x, y)]
+    at = F.floor((F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy(x, y)) - 1) / BLOCK)
+    places = rows.withColumn("_k", at).groupBy("_cx", "_cy", "_k", x, y).agg(F.collect_list(F.struct(*others)).alias("m"))
+    ends = [f(c).alias(f"{n}{k}") for k, c in (("x", x), ("y", y)) for n, f in (("low_", F.min), ("high_", F.max))]
+    blocks = places.groupBy("_cx", "_cy", "_k").agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "m")).alias("p"), *ends)
+    a = blocks.select(*[F.col(c).alias(f"a{c}") for c in blocks.columns], F.inline(after))
+    b = blocks.select(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), *[F.col(c).alias(f"b{c}") for c in blocks.columns if c not in ("_cx", "_cy")])
+    here = (F.col("a_cx") == F.col("cx")) & (F.col("a_cy") == F.col("cy"))
+    reach = [F.col(f"{u}low_{c}") <= F.col(f"{v}high_{c}") + width for c in "xy" for u, v in ("ab", "ba")]
+    both = a.join(b, ["cx", "cy"]).where(~here | (F.col("a_k") <= F.col("b_k"))).where(reduce(lambda p, q: p & q, reach))
+    both = both.repartition(tasks, "a_cx", "a_cy", "a_k", "cx", "cy", "b_k").select("ap", "bp", (here & (F.col("a_k") == F.col("b_k"))).alias("same"))
+
+    apart = both.select("bp", "same", F.inline("ap").alias("ax", "ay", "am")).select("same", "ax", "ay", "am", F.inline("bp").alias("bx", "by", "bm"))
+    gap = {c: F.col(f"a{c}").cast("double") - F.col(f"b{c}") for c in "xy"}
+    apart = apart.withColumn("d", F.sqrt(gap["x"] * gap["x"] + gap["y"] * gap["y"])).where(F.col("d") <= limit)
+    if digits is not None:
+        apart = apart.withColumn("d", F.round("d", digits))
+    one = apart.select("same", "ax", "ay", "bx", "by", "bm", "d", F.explode("am").alias("a")).select("same", "ax", "ay", "bx", "by", "d", "a", F.explode("bm").alias("b"))
+    first = F.col(f"a.{id_}") < F.col(f"b.{id_}")
+    one = one.where(first | (~F.col("same") & (F.col(f"a.{id_}") > F.col(f"b.{id_}"))))
+    of = lambda u, c: F.col(f"{u}x" if c == x else f"{u}y" if c == y else f"{u}.{c}")
+    return one.select(*[F.when(first, of(u, c)).otherwise(of(v, c)).alias(f"{u}_{c}") for u, v in ("ab", "ba") for c in points.columns], "d")
 
 
 def close_matches(names: DataFrame, vocabulary: DataFrame, cutoff: float = 0.6, k: int = 3) -> DataFrame:

@@ -97,7 +97,7 @@ def _(s, d):
 
 @query("join09_near_pairs", "with p as (select s_suppkey id, s_suppkey * 7 % 100 * 1.0 x, s_suppkey * 13 % 100 * 1.0 y from supplier) select a.id a_id, b.id b_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) d from p a join p b on a.id < b.id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 20")
 def _(s, d):
-    return O.near_pairs(points(s, d).select("id", "x", "y"), 20.0).select("a_id", "b_id", r6("d"))
+    return O.near_pairs(points(s, d).select("id", "x", "y"), 20.0, digits=6).select("a_id", "b_id", "d")
 
 
 def points(s, d):

@@ -206,3 +206,27 @@ def test_paths_that_are_cut_are_errors(spark):
         G.path_to(line, 6, most=3)
     with pytest.raises(RuntimeError):
         G.bfs(edges(spark, [(i, i + 1, 1.0) for i in range(6)]).select("src", "dst"), 0, rounds=3)
+
+
+def test_near_pairs_match_a_loop(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(60) if i % 9 else None, rng.choice([rng.uniform(-40, 40), 3.0, 0.0]), rng.choice([rng.uniform(-40, 40), 5.0]), i) for i in range(150)]
+    rows += [(70, float("nan"), 0.0, 150), (71, float("inf"), 0.0, 151), (72, float("inf"), 0.0, 152), (73, 1e300, 0.0, 153), (74, 1e300, 3.0, 154), (75, None, 0.0, 155), (76, -1e-20, 90.0, 156), (77, 20.0, 90.0, 157)]
+    want = []
+    for i, x, y, v in rows:
+        for j, p, q, w in rows:
+            if None not in (i, j, x, p) and i < j and (x - p) * (x - p) + (y - q) * (y - q) <= 400:
+                want.append((i, x, y, v, j, p, q, w, math.sqrt((x - p) * (x - p) + (y - q) * (y - q))))
+    df = spark.createDataFrame(rows, "id long, lon double, lat double, v int")
+    for block in (7, 2000):
+        monkeypatch.setattr(O, "BLOCK", block, raising=False)
+        assert sorted(map(tuple, O.near_pairs(df, 20.0, x="lon", y="lat").collect())) == sorted(want)
+    assert O.near_pairs(df.where("v < 0"), 20.0, x="lon", y="lat").count() == 0
+
+
+def test_pairs_of_one_cell_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(O, "TASK_PAIRS", 20_000, raising=False)
+    points = spark.range(1000).selectExpr("id", "cast(id % 4 as double) x", "cast(id % 3 as double) y")
+    per = [r["count"] for r in O.near_pairs(points, 20.0).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 1000 * 999 // 2 and max(per) < sum(per) / 8
