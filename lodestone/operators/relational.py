@@ -168,7 +168,7 @@ BLOCK, TASK_PAIRS = 2000, 1 << 24
 
 def near_pairs(points: DataFrame, limit: float, id_: str = "id", x: str = "x", y: str = "y", digits: int | None = None) -> DataFrame:
     """All pairs (a < b) of points at most `limit` apart with their distance d (rounded to `digits`, if given), by grid cells of that size.
-    A cell's rows are cut into blocks in the order of x and y; pairs of blocks are dealt over as many tasks as their pairs of rows ask for,
+    A cell's rows are cut into blocks in the order of x, y and the other columns; pairs of blocks are dealt over as many tasks as their pairs of rows ask for,
     so no task grows with a cell. Distances are taken once for each pair of places."""
     width = limit * (1 + 1e-9) if limit > 0 else 1.0  # the hair is for quotients that round
     cell = lambda c: F.floor(F.greatest(F.least(F.col(c).cast("double") / width, F.lit(1e15)), F.lit(-1e15)))
@@ -180,7 +180,8 @@ def near_pairs(points: DataFrame, limit: float, id_: str = "id", x: str = "x", y
     tasks = max(1, math.ceil((near.agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0) / TASK_PAIRS))
 
     others = [c for c in points.columns if c not in (x, y)]
-    at = F.floor((F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy(x, y)) - 1) / BLOCK)
+    order = [x, y, id_, *[c for c, kind in points.dtypes if c not in (x, y, id_) and "map<" not in kind and kind != "variant"]]  # both sides of the join cut alike
+    at = F.floor((F.row_number().over(Window.partitionBy("_cx", "_cy").orderBy(*order)) - 1) / BLOCK)
     places = rows.withColumn("_k", at).groupBy("_cx", "_cy", "_k", x, y).agg(F.collect_list(F.struct(*others)).alias("m"))
     ends = [f(c).alias(f"{n}{k}") for k, c in (("x", x), ("y", y)) for n, f in (("low_", F.min), ("high_", F.max))]
     blocks = places.groupBy("_cx", "_cy", "_k").agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "m")).alias("p"), *ends)
