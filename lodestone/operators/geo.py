@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import near_pairs
@@ -16,10 +17,30 @@ MOST_POINTS = 5000
 
 
 def variogram(points: DataFrame, width: float, limit: float, value: str = "z") -> DataFrame:
-    """bin, n, distance, gamma: mean of half squared differences of pairs up to `limit` apart."""
-    pairs = near_pairs(points, limit)
-    d = pairs.withColumn("bin", F.floor(F.col("d") / width)).where(F.col("d") < limit)
-    return d.groupBy("bin").agg(F.count("*").alias("n"), F.avg("d").alias("distance"), F.avg(F.pow(F.col(f"a_{value}") - F.col(f"b_{value}"), 2) / 2).alias("gamma"))
+    """bin, n, distance, gamma: mean of half squared differences of pairs (of different ids) up to `limit` apart. Pairs are formed of places, from
+    the count, mean and squared deviations of each one's values, so rows that share a place cost no pairs; pairs of equal ids are taken off again."""
+    c = F.col
+    rows = points.select("id", *[c(k).cast("double").alias(k) for k in "xy"], c(value).cast("double").alias("z")).where("id is not null and x is not null and y is not null")
+    # n rows, k of them with a value, their mean m and sum of squared deviations s
+    sums = [F.count("*").alias("n"), F.count("z").alias("k"), F.avg("z").alias("m"), F.when(F.count("z") > 1, F.var_pop("z") * F.count("z")).otherwise(0.0).alias("s")]
+
+    def within(g: DataFrame, sign: int) -> DataFrame:
+        return g.where("n > 1").select(F.lit(0.0).alias("d"), (sign * (c("n") * (c("n") - 1) / 2)).cast("long").alias("n"), (sign * (c("k") * (c("k") - 1) / 2)).cast("long").alias("k"), F.when(c("k") > 1, sign * c("k") * c("s") / 2).alias("g"))
+
+    def between(pairs: DataFrame, sign: int) -> DataFrame:
+        gap = c("a_m") - c("b_m")
+        g = (c("b_k") * c("a_s") + c("a_k") * c("b_s") + c("a_k") * c("b_k") * gap * gap) / 2
+        return pairs.select("d", (sign * c("a_n") * c("b_n")).alias("n"), (sign * c("a_k") * c("b_k")).alias("k"), (sign * g).alias("g"))
+
+    places = rows.groupBy("x", "y").agg(*sums).where("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    twice = rows.groupBy("id", "x", "y").agg(*sums).withColumn("all", F.sum("n").over(Window.partitionBy("id"))).where("all > 1 and abs(x) < double('infinity') and abs(y) < double('infinity')").drop("all")
+    a, b = (twice.select("id", *[c(k).alias(f"{u}_{k}") for k in "xynkms"]) for u in "ab")
+    dx, dy = c("a_x") - c("b_x"), c("a_y") - c("b_y")
+    again = a.join(b, "id").where("a_x < b_x or a_x = b_x and a_y < b_y").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    parts = [within(places, 1), between(near_pairs(places.withColumn("id", F.struct("x", "y")), limit), 1), within(twice, -1), between(again, -1)]
+    d = reduce(DataFrame.unionByName, parts).where(c("d") < limit).groupBy(F.floor(c("d") / width).alias("bin"))
+    total = d.agg(F.sum("n").alias("n"), F.sum(c("n") * c("d")).alias("d"), F.sum("k").alias("k"), F.sum("g").alias("g")).where("n > 0")
+    return total.select("bin", "n", (c("d") / c("n")).alias("distance"), F.when(c("k") > 0, c("g") / c("k")).alias("gamma"))
 
 
 def _trend(x: np.ndarray, y: np.ndarray, order: int) -> np.ndarray:

@@ -230,3 +230,21 @@ def test_pairs_of_one_cell_are_dealt_over_tasks(spark, monkeypatch):
     points = spark.range(1000).selectExpr("id", "cast(id % 4 as double) x", "cast(id % 3 as double) y")
     per = [r["count"] for r in O.near_pairs(points, 20.0).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 1000 * 999 // 2 and max(per) < sum(per) / 8
+
+
+def test_variogram_pairs_places_not_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randrange(150), float(rng.randrange(6)), rng.choice([0.0, 1.5, 40.0]), rng.choice([None, rng.uniform(-9, 9), 1e6])) for _ in range(200)] + [(None, 0.0, 0.0, 1.0), (900, None, 0.0, 1.0), (901, 500.0, 0.0, 1.0)]
+    want = {}
+    for i, (a, x, y, z) in enumerate(rows):
+        for b, p, q, w in rows[:i]:
+            if None not in (a, b, x, p) and a != b and (d := math.hypot(x - p, y - q)) < 4:
+                want.setdefault(int(d / 0.7), []).append((d, None if None in (z, w) else (z - w) ** 2 / 2))
+    sizes, pairs = [], geo.near_pairs
+    monkeypatch.setattr(geo, "near_pairs", lambda points, *a: sizes.append(points.count()) or pairs(points, *a))
+    got = {r.bin: r for r in geo.variogram(spark.createDataFrame(rows, "id long, x double, y double, z double"), 0.7, 4.0).collect()}
+    assert sizes == [len({r[1:3] for r in rows if r[0] is not None and r[1] is not None})]
+    assert {k: v.n for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    for k, v in want.items():
+        g = [y for _, y in v if y is not None]
+        assert got[k].distance == pytest.approx(sum(d for d, _ in v) / len(v)) and got[k].gamma == pytest.approx(sum(g) / len(g))
