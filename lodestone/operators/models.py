@@ -6,20 +6,42 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def preprocessing(numbers: Sequence[str], categories: Sequence[str]) -> list:
-    """Standardised numbers and one-hot categories; unseen categories become all zeros."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categories]
-    hot = [OneHotEncoder(inputCols=[f"{c}_i" for c in categories], outputCols=[f"{c}_h" for c in categories])] if categories else []
-    return [*index, *hot, VectorAssembler(inputCols=list(numbers), outputCol="_numbers", handleInvalid="keep"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True), VectorAssembler(inputCols=["_scaled", *(f"{c}_h" for c in categories)], outputCol="features")]
+def _quoted(name: str, q: str = "`") -> str:
+    return q + (name.replace("`", "``") if q == "`" else name.replace("\\", "\\\\").replace("'", "\\'")) + q
+
+
+def preprocessing(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], parts: Sequence[Column] | None = None) -> list[tuple[list, dict]]:
+    """For each part of df's rows: stages that add `features` (standardised numbers, then one-hot categories, the commonest first; unseen ones
+    become all zeros), and the kinds of its members for tree learners. All parts are summed up in one pass, and the stages are one expression
+    and one assembler, which cost far less a row than a stage for each step."""
+    parts = parts or [F.lit(True)]
+    of = lambda c, p: F.when(p, F.col(c).cast("double"))
+    stats = df.agg(F.lit(0), *[f(of(c, p)) for p in parts for c in numbers for f in (F.avg, F.stddev_samp)]).first()[1:]
+    levels = {c: df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(parts)]).collect() for c in categories}
+    out = []
+    for i in range(len(parts)):
+        own = stats[2 * len(numbers) * i :]
+        number = lambda v: "double('NaN')" if v is None or not math.isfinite(v) else f"({float(v)!r}D)"
+        terms = [f"(cast({_quoted(c)} as double) - {number(own[2 * m])}) * {number(1 / own[2 * m + 1] if own[2 * m + 1] else 0.0)}" for m, c in enumerate(numbers)]
+        hot = [(c, r.v) for c in categories for r in sorted(levels[c], key=lambda r: (-r[f"n{i}"], r.v)) if r[f"n{i}"]]
+        terms += [f"cast(coalesce(cast({_quoted(c)} as string) = {_quoted(v, chr(39))}, false) as double)" for c, v in hot]
+        names = [f"_f{m}" for m in range(len(terms))]
+        stages = [SQLTransformer(statement=f"select *, {', '.join(f'{t} as {n}' for t, n in zip(terms, names, strict=True))} from __THIS__"), VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")]
+        kinds = {"numeric": [{"idx": m, "name": c} for m, c in enumerate(numbers)], "binary": [{"idx": len(numbers) + m, "name": f"{c}_{v}"} for m, (c, v) in enumerate(hot)]}
+        out.append((stages, {"ml_attr": {"attrs": {k: v for k, v in kinds.items() if v}, "num_attrs": len(names)}}))
+    return out
+
+
+def featured(df: DataFrame, stages: list, kinds: dict) -> DataFrame:
+    return PipelineModel(stages).transform(df).select("label", F.col("features").alias("features", metadata=kinds))
 
 
 def classifier(kind: str, seed: int = 42, **params):
@@ -27,8 +49,31 @@ def classifier(kind: str, seed: int = 42, **params):
     return make(featuresCol="features", labelCol="label", **({} if kind == "logistic" else {"seed": seed}), **params)
 
 
-def train(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], kind: str, **params):
-    return Pipeline(stages=[*preprocessing(numbers, categories), classifier(kind, **params)]).fit(df)
+def train(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], kind: str, **params) -> PipelineModel:
+    return trained(df, numbers, categories, [classifier(kind, **params)])[0]
+
+
+def trained(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], models: Sequence) -> list[PipelineModel]:
+    """Each classifier fitted to df, behind preprocessing that is worked out once."""
+    [(stages, kinds)] = preprocessing(df, numbers, categories)
+    rows = featured(df, stages, kinds)
+    return [PipelineModel([*stages, m.fit(rows)]) for m in models]
+
+
+def cross_validated(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], model, maps: Sequence[dict], folds: int = 3, seed: int = 42) -> list[float]:
+    """The mean accuracy of each setting, over the folds that CrossValidator draws. A fold's preprocessing is that of its training rows; its
+    models are fitted one after the other, so one fit's data is held at a time, and tried in one pass."""
+    marked = df.select("label", *numbers, *categories, F.rand(seed).alias("_at"))
+    inside = [(F.col("_at") >= i * (1.0 / folds)) & (F.col("_at") < (i + 1) * (1.0 / folds)) for i in range(folds)]
+    found = []
+    for test, (stages, kinds) in zip(inside, preprocessing(marked, numbers, categories, [~t for t in inside]), strict=True):
+        rows = featured(marked.where(~test), stages, kinds)
+        tried = PipelineModel(stages).transform(marked.where(test)).select("label", "features")
+        for n, m in enumerate(maps):
+            fitted = model.fit(rows, m)
+            tried = fitted.transform(tried).withColumnRenamed(fitted.getPredictionCol(), f"_p{n}").drop(fitted.getRawPredictionCol(), fitted.getProbabilityCol())
+        found.append(tried.agg(*[F.count_if(F.col(f"_p{n}") == F.col("label")) / F.count("*") for n in range(len(maps))]).first())
+    return np.mean(np.array(found, float), axis=0).tolist()
 
 
 def grid_search(df: DataFrame, numbers: Sequence[str], categories: Sequence[str], kind: str, grid: dict[str, Sequence], folds: int = 3, seed: int = 42):
@@ -38,10 +83,10 @@ def grid_search(df: DataFrame, numbers: Sequence[str], categories: Sequence[str]
     for name, values in grid.items():
         build = build.addGrid(model.getParam(name), list(values))
     maps = build.build()
-    search = CrossValidator(estimator=Pipeline(stages=[*preprocessing(numbers, categories), model]), estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, seed=seed, parallelism=2)
-    found = search.fit(df)
+    means = cross_validated(df, numbers, categories, model, maps, folds, seed)
+    best = int(np.argmax(means))
     settings = [{p.name: v for p, v in m.items()} for m in maps]
-    return found.bestModel, settings[int(np.argmax(found.avgMetrics))], list(zip(settings, found.avgMetrics, strict=True))
+    return trained(df, numbers, categories, [model.copy(maps[best])])[0], settings[best], list(zip(settings, means, strict=True))
 
 
 _cdf = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))

@@ -248,3 +248,44 @@ def test_variogram_pairs_places_not_rows(spark, monkeypatch):
     for k, v in want.items():
         g = [y for _, y in v if y is not None]
         assert got[k].distance == pytest.approx(sum(d for d, _ in v) / len(v)) and got[k].gamma == pytest.approx(sum(g) / len(g))
+
+
+def mixed_rows(spark, n=600):
+    rng = random.Random(8)
+    kinds = ["a", "it's", "b\\c", "c", None]
+    return spark.createDataFrame([(float(i % 2), rng.gauss(0.8 * (i % 2), 1), rng.randint(0, 9), rng.choice(kinds[i % 2 :]), 3.5) for i in range(n)], "label double, x double, `n 1` int, c string, same double").repartition(3, "x").sortWithinPartitions("x").localCheckpoint()
+
+
+def stock(numbers, categories):
+    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+
+    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categories]
+    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in categories], outputCols=[f"{c}_h" for c in categories])
+    return [*index, hot, VectorAssembler(inputCols=numbers, outputCol="_numbers", handleInvalid="keep"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True), VectorAssembler(inputCols=["_scaled", *(f"{c}_h" for c in categories)], outputCol="features")]
+
+
+def test_features_cost_one_function_a_row(spark):
+    df = mixed_rows(spark)
+    found = models.train(df, ["x", "n 1", "same"], ["c"], "logistic")
+    plan = found.transform(df).select("features")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("UDF(") == 1
+
+
+def test_features_and_models_are_those_of_the_stock_stages(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    df, numbers = mixed_rows(spark), ["x", "n 1", "same"]
+    for kind, params in (("logistic", {}), ("forest", {"numTrees": 5}), ("boosting", {"maxIter": 3})):
+        old, new = (m.transform(df).select("features", "prediction").collect() for m in (Pipeline(stages=[*stock(numbers, ["c"]), models.classifier(kind, **params)]).fit(df), models.train(df, numbers, ["c"], kind, **params)))
+        assert np.allclose([r.features.toArray() for r in old], [r.features.toArray() for r in new], atol=1e-12)
+        assert [r.prediction for r in old] == [r.prediction for r in new]
+    model = models.classifier("logistic")
+    maps = [{model.regParam: 0.0}, {model.regParam: 0.4, model.elasticNetParam: 0.5}]
+    want = CrossValidator(estimator=Pipeline(stages=[*stock(numbers, ["c"]), model]), estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=3, seed=42).fit(df)
+    _, best, got = models.grid_search(df, numbers, ["c"], "logistic", {"regParam": [0.0, 0.4], "elasticNetParam": [0.0, 0.5]})
+    for m, mean in zip(maps, want.avgMetrics, strict=True):
+        wanted = {"regParam": m[model.regParam], "elasticNetParam": m.get(model.elasticNetParam, 0.0)}
+        assert [a for x, a in got if x == wanted] == [pytest.approx(mean, abs=1e-12)]
+    assert dict(best) == max(got, key=lambda e: e[1])[0]
