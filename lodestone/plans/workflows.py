@@ -195,10 +195,9 @@ _NUMBERS = ["l_quantity", "l_extendedprice", "day"]
 @query("mod02_forest_boosting")
 def _(s, d):
     rows, part = _labelled(s, d), O.split(C("l_orderkey"), {"train": 70, "test": 30}, seed=123)
-    out = []
-    for kind, params in (("forest", {"numTrees": 20, "maxDepth": 5}), ("boosting", {"maxIter": 5, "maxDepth": 3})):
-        model = models.train(rows.where(part == "train"), _NUMBERS, ["l_linestatus"], kind, **params)
-        out.append(O.confusion(model.transform(rows.where(part == "test")), "label", "prediction").withColumn("kind", F.lit(kind)))
+    kinds = {"forest": {"numTrees": 20, "maxDepth": 5}, "boosting": {"maxIter": 5, "maxDepth": 3}}
+    found = models.trained(rows.where(part == "train"), _NUMBERS, ["l_linestatus"], [models.classifier(kind, **params) for kind, params in kinds.items()])
+    out = [O.confusion(model.transform(rows.where(part == "test")), "label", "prediction").withColumn("kind", F.lit(kind)) for kind, model in zip(kinds, found, strict=True)]
     return out[0].unionByName(out[1])
 
 
