@@ -43,3 +43,15 @@ def test_traffic_hours(spark):
     df = spark.range(24).select(K.traffic_factor(F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.col("id").cast("int"), F.lit(0), F.lit(0))).alias("f"))
     got = [r.f for r in df.collect()]
     assert [h for h, f in enumerate(got) if f == 2.0] == [7, 8, 9, 17, 18, 19] and [h for h, f in enumerate(got) if f == 0.8] == [0, 1, 2, 3, 4, 5, 6, 22, 23]
+
+
+def test_nfkc_is_that_of_python_without_python_workers(spark):
+    import unicodedata
+
+    known = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    texts = [*("".join(x) for x in zip(known[::7], known[::11], known[3::13])), "ﬁ ①\u00a0Å e\u0301\u0323 한 ㍍ \U0001f600", "plain", "", None]
+    texts += ["".join(known[i : i + 50]) for i in range(0, len(known), 50)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", K.nfkc(F.col("t")).alias("t"))
+    assert {r.i: r.t for r in got.collect()} == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    plan = spark.range(1).select(K.normalize_query(F.col("id").cast("string"), compose=True))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
