@@ -289,3 +289,17 @@ def test_features_and_models_are_those_of_the_stock_stages(spark):
         wanted = {"regParam": m[model.regParam], "elasticNetParam": m.get(model.elasticNetParam, 0.0)}
         assert [a for x, a in got if x == wanted] == [pytest.approx(mean, abs=1e-12)]
     assert dict(best) == max(got, key=lambda e: e[1])[0]
+
+
+def test_forest_and_boosting_share_their_preprocessing(spark, monkeypatch):
+    import os
+
+    import lodestone.plans  # noqa: F401
+    from lodestone.plans import registry
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no tables here")
+    calls, own = [], models.preprocessing
+    monkeypatch.setattr(models, "preprocessing", lambda *a, **k: calls.append(1) or own(*a, **k))
+    assert {r.kind for r in registry.QUERIES["mod02_forest_boosting"](spark, at).collect()} == {"forest", "boosting"} and len(calls) == 1
